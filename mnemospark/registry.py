@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mnemospark.queries import scalars
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = ""
+_MODULES = (scalars,)
+QUERIES: dict[str, Query] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}
+FLAGSHIP = "hybrid_search"
