@@ -109,15 +109,21 @@ def identifiers(query: Column) -> Column:
     return F.transform(F.filter(F.transform(tokens(query, QUERY_TOKEN), bare), names), lambda x: x["t"])
 
 
-def holds_identifier(text_subtokens: Column, identifier: Column) -> Column:
-    """Whether neighbouring subtokens of the text, joined, are the identifier without its punctuation."""
+def spaced_subtokens(text: Column) -> Column:
+    """The subtokens with a space before, between and after them."""
+    return F.concat(F.lit(" "), F.array_join(subtokens(text), " "), F.lit(" "))
+
+
+def holds_identifier(spaced: Column, identifier: Column) -> Column:
+    """Whether neighbouring subtokens of the text, joined, are the identifier without its punctuation.
+
+    The identifier becomes a pattern that allows a space between any two characters; at most two subtokens more than the
+    identifier has may be joined.
+    """
     need = subtokens(identifier)
-    target, most = F.array_join(need, ""), F.size(need) + 2
-    n = F.size(text_subtokens)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    at = lambda i: F.exists(F.sequence(F.lit(1), most), lambda w: F.array_join(F.slice(text_subtokens, i, w), "") == target)
-    # A first subtoken that doesn't begin the target can't start a match; get() skips the rest.
-    return (F.size(need) > 0) & (n > 0) & F.exists(starts, lambda i: F.when(F.startswith(target, F.get(text_subtokens, i - 1)), at(i)).otherwise(False))
+    pattern = F.concat(F.lit("(?<= )"), F.array_join(F.filter(F.split(F.array_join(need, ""), ""), lambda c: c != ""), " ?"), F.lit("(?= )"))
+    parts = lambda m: F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1
+    return (F.size(need) > 0) & F.exists(F.regexp_extract_all(spaced, pattern, F.lit(0)), lambda m: parts(m) <= F.size(need) + 2)
 
 
 def token_weight(t: Column) -> Column:
