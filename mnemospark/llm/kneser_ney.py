@@ -14,8 +14,9 @@ with all documents, whose sums grow shard by shard, so no text moves.  The numbe
 follows the corpus.
 
 A document's perplexity is exp of the mean negative log-probability of its characters and end mark.  A document is
-rejected if that is over ``MARGIN`` times the ``QUANTILE`` quantile of the perplexities of the trusted documents of its
-language.  Languages without trusted text have no model and no threshold; their documents are kept.
+rejected if that is over ``MARGIN`` times the ``QUANTILE`` quantile of its language: that of the trusted documents which
+were held out of training, as the others look too good to their own model.  Languages without a model or without
+held-out documents have no threshold; their documents are kept.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,12 @@ from mnemospark.storage import broadcast_within, materialise
 
 #: Characters of the longest n-gram, and bits of a character.
 ORDER, BITS = 5, 12
+#: Discounts of counts 1, 2 and more where the counts of counts are too few to tell.
+DISCOUNTS = (0.5, 0.75, 0.9)
+#: One in so many trusted documents, by a hash of its id, sets the thresholds and trains nothing.
+HELD_OUT = 5
 #: Trusted quantile that a language's threshold comes from, and what it is multiplied with.
-QUANTILE, MARGIN = 0.99, 1.5
+QUANTILE, MARGIN = 0.99, 1.35
 #: Rows of the probability table in one shard, and characters a worker gathers before it sums them up.
 SHARD_ROWS, GATHER = 4_000_000, 4_000_000
 #: Rows of the label table that may be broadcast.
@@ -105,12 +111,14 @@ def _low(gram: Column, order: int) -> Column:
 
 
 def discounts(counts: DataFrame) -> DataFrame:
-    """``(lang, d1, d2, d3)`` of one order from its counts of counts; fixed values where these can't give them."""
+    """``(lang, d1, d2, d3)`` of one order from its counts of counts; ``DISCOUNTS`` where these give none between 0 and the count."""
     c = counts.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == i, 1.0).otherwise(0.0)).alias(f"n{i}") for i in (1, 2, 3, 4)])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    ok = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
-    d = [F.when(ok, F.greatest(F.lit(0.0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).otherwise(F.lit(default)) for i, default in ((1, 0.5), (2, 0.75), (3, 0.9))]
-    return c.select("lang", *[x.alias(f"d{i}") for i, x in enumerate(d, 1)])
+    out = []
+    for i, default in enumerate(DISCOUNTS, 1):
+        d = F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))
+        out.append(F.when((d > 0) & (d < i), d).otherwise(F.lit(default)).alias(f"d{i}"))
+    return c.select("lang", *out)
 
 
 def log_probabilities(trusted: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -130,6 +138,7 @@ def log_probabilities(trusted: DataFrame, wanted: DataFrame) -> DataFrame:
             p = wanted.select("lang", _low(F.col("gram"), order).alias("gram")).distinct().withColumn("suffix", _low(F.col("gram"), order - 1)).join(p.withColumnRenamed("gram", "suffix"), ["lang", "suffix"]).drop("suffix")
         q = p.join(seen.select("lang", "gram", (F.col("n") - F.col("d")).alias("kept")), ["lang", "gram"], "left").withColumn("context", F.shiftright("gram", BITS)).join(handed, ["lang", "context"], "left")
         p = q.select("lang", "gram", F.coalesce((F.greatest(F.coalesce("kept", F.lit(0.0)), F.lit(0.0)) + F.col("handed") * F.col("p")) / F.col("total"), F.col("p")).alias("p"))
+        p = materialise(p, "probabilities") if order < ORDER else p
     return p.select("lang", "gram", F.log("p").cast("float").alias("lp"))
 
 
@@ -178,13 +187,23 @@ class Model:
     def __init__(self, table: DataFrame):
         self.table = materialise(table, "probabilities")
         self.shards = max(1, -(-self.table.count() // SHARD_ROWS))
-
-    def shard(self, i: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        """At most about ``SHARD_ROWS`` rows."""
-        own = self.table.filter(F.pmod(F.xxhash64("lang", "gram"), F.lit(self.shards)) == i).toArrow()
-        lang = own.column("lang").to_pandas()
-        gram, lp = own.column("gram").to_numpy(), own.column("lp").to_numpy()
-        return {k: (gram[at], lp[at]) for k, at in lang.groupby(lang).indices.items()}
+        self.sent: dict[int, Broadcast] = {}
+
+    def shard(self, i: int) -> Broadcast:
+        """At most about ``SHARD_ROWS`` rows by language, sent once however often it is used."""
+        if i not in self.sent:
+            own = self.table.filter(F.pmod(F.xxhash64("lang", "gram"), F.lit(self.shards)) == i).toArrow()
+            lang = own.column("lang").combine_chunks().dictionary_encode()
+            lang = lang.chunk(0) if isinstance(lang, pa.ChunkedArray) else lang
+            order = np.argsort(lang.indices.to_numpy(zero_copy_only=False), kind="stable")
+            cuts = np.cumsum(np.bincount(lang.indices.to_numpy(zero_copy_only=False), minlength=len(lang.dictionary)))[:-1]
+            parts = np.split(order, cuts) if len(lang.dictionary) else []
+            gram, lp = own.column("gram").to_numpy(), own.column("lp").to_numpy()
+            by_lang = {k: (gram[at], lp[at]) for k, at in zip(lang.dictionary.to_pylist(), parts, strict=True)}
+            self.sent[i] = self.table.sparkSession.sparkContext.broadcast(by_lang)
+            del own, lang, order, parts, gram, lp, by_lang
+            pa.default_memory_pool().release_unused()
+        return self.sent[i]
 
     def add_scores(self, docs: DataFrame) -> DataFrame:
         """``docs``, all columns, with ``_ppl``; null for a language without a model.  No row moves."""
@@ -193,7 +212,7 @@ class Model:
         lang_at, text_at = names.index("lang"), names.index("text")
         df = docs.withColumn("_nll", F.lit(0.0)).withColumn("_n", F.lit(0).cast("long"))
         for i in range(self.shards):
-            sent = spark.sparkContext.broadcast(self.shard(i))
+            sent = self.shard(i)
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                 table = Table(sent.value)
@@ -213,9 +232,9 @@ class Model:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Documents that a label calls good and none calls toxic or bad."""
+    """``(doc_id, held)``: documents that a label calls good and none calls toxic or bad, and whether they are held out."""
     t = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    return t.filter("doc_id is not null and quality = 1 and toxic = 0").select("doc_id")
+    return t.filter("doc_id is not null and quality = 1 and toxic = 0").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held"))
 
 
 def train(docs: DataFrame, trusted: DataFrame) -> Model:
@@ -228,12 +247,13 @@ def train(docs: DataFrame, trusted: DataFrame) -> Model:
 
 
 def thresholds(scores: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """``(lang, threshold)`` from trusted ``(lang, ppl)``."""
+    """``(lang, threshold)`` from the ``(lang, ppl)`` of held-out documents."""
     return scores.groupBy("lang").agg((F.percentile_approx("ppl", quantile, 10_000) * margin).alias("threshold"))
 
 
-def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return docs.join(broadcast_within(trusted_ids(labels), MAX_LABELS), "doc_id", "left_semi").select(*docs.columns)
+def _only(docs: DataFrame, labels: DataFrame, held: bool) -> DataFrame:
+    ids = trusted_ids(labels).filter("held" if held else "not held").select("doc_id")
+    return docs.join(broadcast_within(ids, MAX_LABELS), "doc_id", "left_semi").select(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -244,19 +264,18 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     further columns are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    model = train(own, _trusted(own, labels))
+    model = train(own, _only(own, labels, held=False))
     scored = materialise(model.add_scores(own).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.col("_ppl").alias("ppl")), "scores")
-    good = scored.join(broadcast_within(trusted_ids(labels), MAX_LABELS), "doc_id", "left_semi")
-    limits = broadcast_within(materialise(thresholds(good), "thresholds"), 100_000)
+    limits = broadcast_within(materialise(thresholds(_only(scored, labels, held=True)), "thresholds"), 100_000)
     return scored.join(limits, "lang", "left").select("doc_id", "lang", F.col("ppl").alias("perplexity"), "threshold", F.coalesce(F.col("ppl") <= F.col("threshold"), F.lit(True)).alias("accepted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs``, all columns, without the documents that the classifier rejects.  No text moves."""
-    good = _trusted(docs, labels)
-    model = train(docs, good)
+    model = train(docs, _only(docs, labels, held=False))
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    limits = thresholds(model.add_scores(good.select("doc_id", "lang", "text")).select(lang.alias("lang"), F.col("_ppl").alias("ppl")))
+    held = model.add_scores(_only(docs, labels, held=True).select("doc_id", "lang", "text"))
+    limits = thresholds(held.select(lang.alias("lang"), F.col("_ppl").alias("ppl")))
     limits = broadcast_within(materialise(limits.withColumnsRenamed({"lang": "_limit_lang", "threshold": "_limit"}), "thresholds"), 100_000)
     scored = model.add_scores(docs)
     return scored.join(limits, lang == F.col("_limit_lang"), "left").filter(F.coalesce(F.col("_ppl") <= F.col("_limit"), F.lit(True))).select(*docs.columns)
