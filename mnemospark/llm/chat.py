@@ -246,6 +246,12 @@ def parse(source: str) -> list[tuple]:
 def folded(tree: list[tuple]) -> list[tuple]:
     """The tree with constant prints as text, adjacent texts joined and decided branches resolved."""
     out: list[tuple] = []
+
+    def add(node: tuple) -> None:
+        if node[0] == "text" and out and out[-1][0] == "text":
+            node = ("text", out.pop()[1] + node[1])
+        out.append(node)
+
     for node in tree:
         if node[0] == "print" and node[1][0] == "const":
             node = ("text", _text(node[1][1]))
@@ -264,12 +270,11 @@ def folded(tree: list[tuple]) -> list[tuple]:
             if not branches:
                 continue
             if branches[0][0][0] == "const":
-                out += branches[0][1]
+                for inner in branches[0][1]:
+                    add(inner)
                 continue
             node = ("if", branches)
-        if node[0] == "text" and out and out[-1][0] == "text":
-            node = ("text", out.pop()[1] + node[1])
-        out.append(node)
+        add(node)
     return out
 
 

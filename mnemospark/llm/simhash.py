@@ -29,8 +29,10 @@ from mnemospark.storage import broadcast_within, materialise
 WORDS, SEED, MAX_BITS, MIN_BYTES = 3, 42, 3, 5
 #: Byte positions of a posting key.
 TRIPLES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3), (4, 5, 6), (4, 5, 7), (4, 6, 7), (5, 6, 7))
-#: Longest posting list that one task compares at once, and long lists whose keys may be broadcast.
-LIST_ROWS, MAX_LONG_LISTS = 4096, 100_000
+#: Longest posting list that one task compares at once.
+LIST_ROWS = 4096
+#: Rows of a list of documents that may be broadcast.
+MAX_DROPPED = 2_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -55,14 +57,15 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        fps = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` of every row; fp is the fingerprint's bits as a signed long."""
+    """``(doc_id, text_hash, fp)`` of every row; fp is the fingerprint's bits as a signed long."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
 def forest(values: np.ndarray) -> list[tuple[int, int]]:
@@ -132,6 +135,17 @@ def links(distinct: DataFrame) -> DataFrame:
     return shared.select("k", F.explode(blocks).alias("block"), "fp").repartition("k", "block").sortWithinPartitions("k", "block").mapInArrow(_links, "u long, v long")
 
 
+def _classes(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, fp, component, component_id)`` of every row; the component is a fingerprint."""
+    small_batches(docs.sparkSession)
+    fps = materialise(fingerprints(docs), "fingerprints")
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
+    comp = connected_components(links(distinct.select("fp")))
+    nodes = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("component"))
+    smallest = nodes.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    return fps.join(nodes.join(smallest, "component").select("fp", "component", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -139,27 +153,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     carried through and never names a component unless its whole component is null; an empty table gives no rows;
     further columns are ignored.
     """
-    small_batches(docs.sparkSession)
-    fps = materialise(fingerprints(docs), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    comp = connected_components(links(distinct.select("fp")))
-    nodes = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("component"))
-    smallest = nodes.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    classes = nodes.join(smallest, "component").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id; rows with a null doc_id stay.
+    """``docs``, all columns, with one document of each component: the smallest by doc_id, then by the hash of its text.
 
-    Repeated rows of the document that stays are reduced to one by their text: of rows that share doc_id and text one
-    is kept.
+    Rows with a null doc_id stay.  Of rows that share doc_id and text one is kept.
     """
-    found = near_duplicates(docs)
-    drop = materialise(found.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    kept = docs.join(broadcast_within(drop, 2_000_000), "doc_id", "left_anti")
-    if again.limit(1).count():
-        twice = broadcast_within(again, 2_000_000)
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    found = materialise(_classes(docs).filter("doc_id is not null").select("doc_id", "text_hash", "component"), "classes")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    rows = found.groupBy("doc_id", "text_hash", "component").agg(F.count("*").alias("copies"))
+    judged = rows.join(first, "component").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("first") != F.struct("doc_id", "text_hash")).alias("drop"), (F.col("copies") > 1).alias("twice"))
+    judged = materialise(judged.filter("drop or twice"), "judged")
+    same = (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
+    kept = docs.join(broadcast_within(judged.filter("drop").select("_id", "_hash"), MAX_DROPPED), same, "left_anti")
+    twice = judged.filter("twice and not drop").select("_id", "_hash")
+    if twice.limit(1).count():
+        twice = broadcast_within(twice, MAX_DROPPED)
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept.select(*docs.columns)
