@@ -23,7 +23,7 @@ def read_files(spark: SparkSession, paths: str | list[str], pattern: str = "*.js
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     df = reader.load(paths)
-    return df.select("path", F.decode("content", F.lit("UTF-8")).alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return df.select("path", F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
 def discover(files: DataFrame, source: str, skip_subagents: bool = False) -> DataFrame:
