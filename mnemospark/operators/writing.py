@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,13 +44,18 @@ def canonicalize(df: DataFrame, aliases: DataFrame, subject: str = "subject") ->
     return out.select(*df.columns, F.when(changed, found).otherwise(F.col(subject)).alias("canonical"), F.when(changed, F.col(subject)).alias("raw"))
 
 
-def write_decisions(candidates: DataFrame, aliases: DataFrame) -> DataFrame:
+def no_authority(content: Column) -> Column:
+    """The default authority check: it is not available and raises no flag."""
+    return F.array().cast("array<string>")
+
+
+def write_decisions(candidates: DataFrame, aliases: DataFrame, authority: Callable[[Column], Column] = no_authority) -> DataFrame:
     """``candidates`` with ``error`` (null: stored), ``flags``, ``gate``, ``stored_content`` and the stored metadata.
 
     Needed columns: content, subject, project, agent, claim_type, why, self_checked, expires_on, verify_hint, status,
     gate_verdict (``store``, ``reject`` or null).  The first gate that fails decides: secrets in content or why, vague
-    wording unless checked, vague subject, unknown type, missing why, incomplete prediction, the quality gate unless
-    checked.
+    wording unless checked, vague subject, unknown type, missing why, incomplete prediction, a conflict that the authority
+    check flags, the quality gate unless checked.
     """
     c = canonicalize(candidates, aliases)
     blank = F.lit("")
@@ -56,6 +63,7 @@ def write_decisions(candidates: DataFrame, aliases: DataFrame) -> DataFrame:
     kind = F.lower(strip(F.coalesce(filled(F.col("claim_type")), F.lit("fact"))))
     c = c.withColumn("secret", F.array_distinct(F.concat(secret_flags(F.col("content")), secret_flags(F.col("why")))))
     c = c.withColumn("vague", vagueness_flags(F.col("content"), F.col("subject"))).withColumn("kind", kind).withColumn("reason", why)
+    c = c.withColumn("conflicts", authority(F.col("content")))
     checked = F.coalesce("self_checked", F.lit(False))
     name = F.lower(strip(F.coalesce(filled(F.col("canonical")), F.col("subject"), blank)))
     incomplete = (F.col("kind") == "prediction") & (iso_date(strip(F.col("expires_on"))).isNull() | (strip(F.coalesce("verify_hint", blank)) == ""))
@@ -66,6 +74,7 @@ def write_decisions(candidates: DataFrame, aliases: DataFrame) -> DataFrame:
         .when(~F.col("kind").isin(CLAIM_TYPES), "MEMORY_INVALID_TYPE")
         .when(F.col("kind").isin(NEEDS_WHY) & (F.col("reason") == ""), "MEMORY_NEEDS_WHY")
         .when(incomplete, "MEMORY_PREDICTION_NEEDS_FIELDS")
+        .when(F.size("conflicts") > 0, "MEMORY_AUTHORITY_CONFLICT")
         .when((F.coalesce("gate_verdict", blank) == "reject") & ~checked, "MEMORY_FAILS_WRITE_CONTRACT")
     )
     gate = F.when(F.col("gate_verdict") == "reject", "bypassed").when(F.col("gate_verdict") == "store", "passed").otherwise("skipped")
@@ -74,7 +83,7 @@ def write_decisions(candidates: DataFrame, aliases: DataFrame) -> DataFrame:
     stored = F.col("error").isNull()
     out = c.withColumn("error", error)
     return out.select(
-        *candidates.columns, "error", F.when(F.col("error") == "MEMORY_CONTAINS_SECRET", F.col("secret")).when(F.col("error") == "MEMORY_NEEDS_SELF_CHECK", F.col("vague")).alias("flags"),
+        *candidates.columns, "error", F.when(F.col("error") == "MEMORY_CONTAINS_SECRET", F.col("secret")).when(F.col("error") == "MEMORY_NEEDS_SELF_CHECK", F.col("vague")).when(F.col("error") == "MEMORY_AUTHORITY_CONFLICT", F.col("conflicts")).alias("flags"),
         F.when(stored, namespace_of(F.col("project"))).alias("namespace"), F.when(stored, gate).alias("gate"), F.when(stored, composed).alias("stored_content"), F.when(stored, F.col("kind")).alias("stored_type"),
         F.when(stored, filled(F.col("reason"))).alias("stored_why"), F.when(stored & (F.col("kind") == "prediction"), F.coalesce("status", F.lit("open"))).otherwise(F.when(stored, F.col("status"))).alias("stored_status"),
         F.when(stored, F.col("canonical")).alias("stored_subject"), F.when(stored, F.col("raw")).alias("stored_raw_subject"),

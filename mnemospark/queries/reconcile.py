@@ -100,12 +100,12 @@ MERGE_UPDATE = f"with {MEMORIES} select id, case id::BIGINT % 4 when 0 then null
 
 def mirror_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index after events have rewritten rows of it."""
-    index = memories(spark, sf_dir).select("id", "namespace", F.substring("content", 1, 40).alias("text"))
+    index = memories(spark, sf_dir).select("id", "namespace", F.col("content").alias("text"))
     log = read(spark, sf_dir, "events").selectExpr("event_id as seq", "cast(user_id as string) as id", "concat('fleet:', event_type) as namespace", "case when event_id % 9 = 0 then '' else props end as text")
-    return W.mirror_upsert(index, log)
+    return W.mirror_upsert(index, log).select("id", "namespace", F.md5("text").alias("text_md5"))
 
 
-MIRROR_UPSERT = f"with {MEMORIES}, b as (select -1 as seq, id, namespace, substr(content, 1, 40) as text from memories union all select event_id, cast(user_id as varchar), 'fleet:' || event_type, props from events where event_id % 9 <> 0) select id, namespace, text from b qualify row_number() over (partition by id order by seq desc) = 1"
+MIRROR_UPSERT = f"with {MEMORIES}, b as (select -1 as seq, id, namespace, content as text from memories union all select event_id, cast(user_id as varchar), 'fleet:' || event_type, props from events where event_id % 9 <> 0) select id, namespace, md5(text) as text_md5 from b qualify row_number() over (partition by id order by seq desc) = 1"
 
 
 def namespace_heal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,13 +181,12 @@ select 'groups' as what, count(*) as n from g union all select 'records', sum(n)
 
 
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the graph of customers and suppliers' nations: orders link a customer to the one with its half number."""
-    o = read(spark, sf_dir, "orders")
-    edges = o.filter("o_custkey % 3 <> 0").selectExpr("o_custkey as u", "cast(floor(o_custkey / 2) as bigint) as v")
+    """Components of the graph in which an order links its customer to one three times as far from the ten before."""
+    edges = read(spark, sf_dir, "orders").selectExpr("o_custkey as u", "o_custkey - o_custkey % 10 + o_custkey * 3 % 10 as v")
     return connected_components(edges)
 
 
-GRAPH_COMPONENTS = """with recursive same as (select distinct o_custkey as id_a, o_custkey // 2 as id_b from orders where o_custkey % 3 <> 0), both_ways as (select id_a as u, id_b as v from same union all select id_b, id_a from same), nodes as (select distinct u as id from both_ways),
+GRAPH_COMPONENTS = """with recursive same as (select distinct o_custkey as id_a, o_custkey - o_custkey % 10 + o_custkey * 3 % 10 as id_b from orders), both_ways as (select id_a as u, id_b as v from same union all select id_b, id_a from same), nodes as (select distinct u as id from both_ways where u <> v),
 walk(id, node) as (select id, id from nodes union select w.id, e.v from walk w join both_ways e on e.u = w.node) select id as node, min(node) as component from walk group by id"""
 
 

@@ -16,12 +16,12 @@ QUERY, WORD, RUN = "[A-Za-z0-9_.:/@-]+", "[a-z0-9'']+", "[A-Za-z]+|[0-9]+"
 
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir)
-    head = F.substring("content", 1, 60)
-    return m.select("id", T.slugify(F.col("raw_subject")).alias("subject_slug"), T.slugify(head).alias("slug"), T.path_slug(head).alias("path_slug"))
+    c = F.col("content")
+    return m.select("id", T.slugify(F.col("raw_subject")).alias("subject_slug"), F.md5(T.slugify(c)).alias("slug_md5"), F.md5(T.path_slug(c)).alias("path_slug_md5"))
 
 
-SLUGS = f"""with {MEMORIES} select id, {slug_sql("raw_subject")} as subject_slug, {slug_sql("substr(content, 1, 60)")} as slug,
-  nullif(regexp_replace(regexp_replace(lower(substr(content, 1, 60)), '[^a-z0-9_-]', '-', 'g'), '^-+|-+$', '', 'g'), '') as path_slug from memories"""
+SLUGS = f"""with {MEMORIES} select id, {slug_sql("raw_subject")} as subject_slug, md5({slug_sql("content")}) as slug_md5,
+  md5(nullif(regexp_replace(regexp_replace(lower(content), '[^a-z0-9_-]', '-', 'g'), '^-+|-+$', '', 'g'), '')) as path_slug_md5 from memories"""
 
 
 def skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
