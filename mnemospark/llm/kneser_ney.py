@@ -14,9 +14,12 @@ with all documents, whose sums grow shard by shard, so no text moves.  The numbe
 follows the corpus.
 
 A document's perplexity is exp of the mean negative log-probability of its characters and end mark.  A document is
-rejected if that is over ``MARGIN`` times the ``QUANTILE`` quantile of its language: that of the trusted documents which
-were held out of training, as the others look too good to their own model.  Languages without a model or without
-held-out documents have no threshold; their documents are kept.
+rejected if that is over the ``QUANTILE`` quantile of its language: that of the trusted documents which were held out of
+training, as the others look too good to their own model.  The mean over few characters scatters more, so the quantile
+is taken of excesses: log-perplexity over the language's median, divided by sqrt(1 + ``SHORT`` / characters).  A language
+with fewer than ``FEW`` held-out documents, where the quantile would hang on one or two of them, takes the quantile of
+the excesses of all languages above its own median.  Languages without a model or without held-out documents have no
+threshold; their documents are kept.
 """
 
 from __future__ import annotations
@@ -38,8 +41,10 @@ ORDER, BITS = 5, 12
 DISCOUNTS = (0.5, 0.75, 0.9)
 #: One in so many trusted documents, by a hash of its id, sets the thresholds and trains nothing.
 HELD_OUT = 5
-#: Trusted quantile that a language's threshold comes from, and what it is multiplied with.
-QUANTILE, MARGIN = 0.99, 1.35
+#: Held-out quantile that is a language's threshold.
+QUANTILE = 0.99
+#: Characters of a text whose scatter is twice (in variance) that of a long one, and held-out documents that a language's own quantile needs.
+SHORT, FEW = 30, 1000
 #: Rows of the probability table in one shard, and characters a worker gathers before it sums them up.
 SHARD_ROWS, GATHER = 4_000_000, 4_000_000
 #: Rows of the label table that may be broadcast.
@@ -246,9 +251,27 @@ def train(docs: DataFrame, trusted: DataFrame) -> Model:
     return Model(log_probabilities(counts, wanted.join(broadcast_within(known, 100_000), "lang", "left_semi")))
 
 
-def thresholds(scores: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """``(lang, threshold)`` from the ``(lang, ppl)`` of held-out documents."""
-    return scores.groupBy("lang").agg((F.percentile_approx("ppl", quantile, 10_000) * margin).alias("threshold"))
+def _scatter(n: Column) -> Column:
+    return F.sqrt(1 + SHORT / n)
+
+
+def thresholds(scores: DataFrame, quantile: float = QUANTILE, few: int = FEW) -> DataFrame:
+    """``(lang, centre, excess)`` from the ``(lang, ppl, n)`` of held-out documents, for ``threshold``."""
+    known = scores.filter("ppl is not null").select("lang", F.log("ppl").alias("x"), "n")
+    centres = known.groupBy("lang").agg(F.percentile_approx("x", 0.5, 10_000).alias("centre"))
+    z = known.join(broadcast_within(centres, 100_000), "lang").select("lang", "centre", ((F.col("x") - F.col("centre")) / _scatter(F.col("n"))).alias("z"))
+    own = z.groupBy("lang", "centre").agg(F.percentile_approx("z", quantile, 10_000).alias("own"), F.count("*").alias("held"))
+    pooled = z.agg(F.percentile_approx("z", quantile, 10_000).alias("pooled"))
+    return own.crossJoin(F.broadcast(pooled)).select("lang", "centre", F.when(F.col("held") >= few, F.col("own")).otherwise(F.col("pooled")).alias("excess"))
+
+
+def threshold(n: Column, of: str = "") -> Column:
+    """The perplexity that a text of n characters, its end mark among them, may have."""
+    return F.exp(F.col(f"{of}centre") + F.col(f"{of}excess") * _scatter(n))
+
+
+def _n_scored() -> Column:
+    return F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))) + 1
 
 
 def _only(docs: DataFrame, labels: DataFrame, held: bool) -> DataFrame:
@@ -265,9 +288,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     model = train(own, _only(own, labels, held=False))
-    scored = materialise(model.add_scores(own).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.col("_ppl").alias("ppl")), "scores")
+    scored = materialise(model.add_scores(own).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.col("_ppl").alias("ppl"), _n_scored().alias("n")), "scores")
     limits = broadcast_within(materialise(thresholds(_only(scored, labels, held=True)), "thresholds"), 100_000)
-    return scored.join(limits, "lang", "left").select("doc_id", "lang", F.col("ppl").alias("perplexity"), "threshold", F.coalesce(F.col("ppl") <= F.col("threshold"), F.lit(True)).alias("accepted"))
+    judged = scored.join(limits, "lang", "left").withColumn("threshold", threshold(F.col("n")))
+    return judged.select("doc_id", "lang", F.col("ppl").alias("perplexity"), "threshold", F.coalesce(F.col("ppl") <= F.col("threshold"), F.lit(True)).alias("accepted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -275,7 +299,8 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, _only(docs, labels, held=False))
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     held = model.add_scores(_only(docs, labels, held=True).select("doc_id", "lang", "text"))
-    limits = thresholds(held.select(lang.alias("lang"), F.col("_ppl").alias("ppl")))
-    limits = broadcast_within(materialise(limits.withColumnsRenamed({"lang": "_limit_lang", "threshold": "_limit"}), "thresholds"), 100_000)
+    limits = thresholds(held.select(lang.alias("lang"), F.col("_ppl").alias("ppl"), _n_scored().alias("n")))
+    limits = materialise(limits, "thresholds").select(F.col("lang").alias("_limit_lang"), F.struct("centre", "excess").alias("_limit"))
+    limits = broadcast_within(limits, 100_000)
     scored = model.add_scores(docs)
-    return scored.join(limits, lang == F.col("_limit_lang"), "left").filter(F.coalesce(F.col("_ppl") <= F.col("_limit"), F.lit(True))).select(*docs.columns)
+    return scored.join(limits, lang == F.col("_limit_lang"), "left").filter(F.coalesce(F.col("_ppl") <= threshold(_n_scored(), "_limit."), F.lit(True))).select(*docs.columns)

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mnemospark.llm import kneser_ney as K
 
@@ -124,3 +125,20 @@ def test_held_out_accuracy(spark):
     assert clean.accepted.mean() > 0.99 and (~junk.accepted).mean() > 0.7
     stage = {r.doc_id for r in K.accepted(docs, train).select("doc_id").collect()}
     assert stage >= set(clean[clean.accepted].doc_id)
+
+
+def test_thresholds_are_the_quantile_itself(spark):
+    """No margin: a language with many held-out documents keeps the quantile of them; one with few takes that of all."""
+    rows = [("en", math.exp(1 + i / 1000), 10**9) for i in range(1, 1001)] + [("fr", math.exp(2.0), 10**9)] * 9 + [("fr", math.exp(9.0), 10**9), ("de", None, 5)]
+    got = {r.lang: r.limit for r in K.thresholds(spark.createDataFrame(rows, "lang string, ppl double, n long")).select("lang", K.threshold(F.lit(10**9)).alias("limit")).collect()}
+    assert set(got) == {"en", "fr"}
+    assert got["en"] == pytest.approx(math.exp(1.99), rel=1e-3)
+    assert math.exp(2.0) < got["fr"] < math.exp(2.5)
+
+
+def test_most_junk_goes(spark):
+    """As test_held_out_accuracy, with the share of junk that the bare quantile reaches."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = K.classify(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").toPandas()
+    assert (~got[got.quality == 0].accepted).mean() > 0.84
