@@ -49,7 +49,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.duplicate_lines(read(spark, sf_dir, "documents"))
+    return line_dedup.duplicate_lines(read(spark, sf_dir, "documents"), rate=0.1, min_words=5)
 
 
 QUERIES: dict[str, Query] = {
