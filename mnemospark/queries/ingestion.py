@@ -96,22 +96,34 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.chunks(d, "doc_id", 1000).select("doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"))
 
 
-CHUNK_TEXT = r"""with recursive w(doc_id, text, start, stop) as (
-  select doc_id, text, 0, case when length(text) <= 1000 then length(text) else coalesce(nullif(greatest(0, 1000 - position(chr(10) in reverse(substr(text, 1, 1000)))) * (position(chr(10) in reverse(substr(text, 1, 1000))) > 0)::INT, 0), 1000) end from documents
-  union all select doc_id, text, stop, case when length(text) <= stop + 1000 then length(text) else stop + coalesce(nullif(greatest(0, 1000 - position(chr(10) in reverse(substr(text, stop + 1, 1000)))) * (position(chr(10) in reverse(substr(text, stop + 1, 1000))) > 0)::INT, 0), 1000) end from w where stop < length(text)),
-c as (select doc_id, start, case when length(text) <= 1000 then substr(text, start + 1, stop - start) else regexp_replace(substr(text, start + 1, stop - start), '^\s+|\s+$', '', 'g') end as chunk from w)
+def _chunks_sql(size: int) -> str:
+    """Common tables ending in ``c (doc_id, start, chunk)``."""
+    at = f"position(chr(10) in reverse(substr(text, %s, {size})))"
+    stop = lambda begin, first: f"case when length(text) <= {begin} + {size} then length(text) else {begin} + coalesce(nullif(greatest(0, {size} - {at % first}) * ({at % first} > 0)::INT, 0), {size}) end"
+    return rf"""with recursive w(doc_id, text, start, stop) as (
+  select doc_id, text, 0, {stop("0", "1")} from documents union all select doc_id, text, stop, {stop("stop", "stop + 1")} from w where stop < length(text)),
+c as (select doc_id, start, case when length(text) <= {size} then substr(text, start + 1, stop - start) else regexp_replace(substr(text, start + 1, stop - start), '^\s+|\s+$', '', 'g') end as chunk, length(text) as n, text from w)"""
+
+
+CHUNK_TEXT = _chunks_sql(1000) + r"""
 select doc_id, row_number() over (partition by doc_id order by start) - 1 as chunk_no, md5(chunk) as chunk_md5 from c where regexp_replace(chunk, '\s', '', 'g') <> ''"""
 
 
 def mined_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of documents that a checkpoint lacks: the stand-in extractor answers with fenced JSON of a chunk's beginning."""
     d = read(spark, sf_dir, "documents").select(F.concat(F.lit("f/"), F.col("doc_id").cast("string")).alias("path"), F.md5("text").alias("file_hash"), "text", F.lit("markdown").alias("source"), F.col("lang").alias("project"))
-    done = d.filter(F.crc32("path") % 3 == 0).select("path", F.when(F.crc32("path") % 2 == 0, F.col("file_hash")).otherwise("old").alias("file_hash"))
+    done = d.filter(F.substring("path", 3, 20).cast("long") % 3 == 0).select("path", F.when(F.substring("path", 3, 20).cast("long") % 2 == 0, F.col("file_hash")).otherwise("old").alias("file_hash"))
     extract = lambda c: F.concat(F.lit("```json\n["), F.to_json(F.struct(F.lit("Lesson").alias("category"), F.substring(c, 1, 3).alias("subject"), F.substring(c, 1, 30).alias("content"))), F.lit(", {\"content\": \"short\"}]\n```"))
     found, _ = mining.mine(d, done, extract)
     return found.select("path", "chunk_no", "category", "subject", F.md5("content").alias("content_md5"), "project")
 
 
+MINED_FACTS = _chunks_sql(mining.CHUNK) + rf""",
+k as (select doc_id, row_number() over (partition by doc_id order by start) - 1 as chunk_no, chunk from c where regexp_replace(chunk, '\s', '', 'g') <> '' and n >= {mining.SHORT_TEXT} and not (doc_id % 3 = 0 and doc_id % 2 = 0)),
+f as (select 'f/' || k.doc_id as path, chunk_no, 'lesson' as category, nullif(regexp_replace(substr(chunk, 1, 3), '^\s+|\s+$', '', 'g'), '') as subject, regexp_replace(substr(chunk, 1, 30), '^\s+|\s+$', '', 'g') as content, lang as project from k join documents d on d.doc_id = k.doc_id)
+select path, chunk_no, category, subject, md5(content) as content_md5, project from f where length(content) >= {mining.SHORT_FACT}"""
+
+
 def checkpoint_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that a checkpoint has not, or has otherwise."""
     d = read(spark, sf_dir, "documents").select(F.concat(F.lit("f/"), F.col("doc_id").cast("string")).alias("path"), F.md5("text").alias("file_hash"), "doc_id")
@@ -168,4 +180,4 @@ STREAM_MIRROR = "select cast(user_id as varchar) as id, arg_max('fleet:' || even
 QUERIES = {f.__name__: f for f in (
     transcript_claude, transcript_codex, transcript_antigravity, transcript_cursor, transcript_openclaw, transcript_projects, commit_log, chunk_text, mined_facts, checkpoint_anti_join, index_feed, stream_flood, stream_mirror,
 )}
-SQL = _TRANSCRIPTS | {"transcript_projects": PROJECTS, "commit_log": COMMIT_LOG, "chunk_text": CHUNK_TEXT, "checkpoint_anti_join": CHECKPOINT, "index_feed": INDEX_FEED, "stream_flood": STREAM_FLOOD, "stream_mirror": STREAM_MIRROR}
+SQL = _TRANSCRIPTS | {"transcript_projects": PROJECTS, "commit_log": COMMIT_LOG, "chunk_text": CHUNK_TEXT, "mined_facts": MINED_FACTS, "checkpoint_anti_join": CHECKPOINT, "index_feed": INDEX_FEED, "stream_flood": STREAM_FLOOD, "stream_mirror": STREAM_MIRROR}

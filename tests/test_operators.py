@@ -142,10 +142,26 @@ def test_render_list(spark):
     assert [r.x for r in df.select(evaluation.render_list(F.col("t")).alias("x")).collect()] == ["1. a b\n2. ", "(no results)"]
 
 
-def test_chunks():
-    assert mining.cut("  short ") == ["  short "] and mining.cut(" \n") == [] and mining.cut(None) == []
+def test_chunks(spark):
     text = "a" * 8 + "\n" + "b" * 20
-    assert mining.cut(text, 10) == ["a" * 8, "b" * 9, "b" * 10, "b"]
+    rows = [("  short ", ["  short "]), (" \n", []), (None, []), ("", []), (text, ["a" * 8, "b" * 9, "b" * 10, "b"]), ("\n" * 30, []), ("\U0001f600" * 12, ["\U0001f600" * 10, "\U0001f600" * 2]), ("ab\ncd\nef\ngh", ["ab\ncd\nef", "gh"]), ("x" * 10 + "\n" + "y" * 4, ["x" * 10, "yyyy"])]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").select("i", mining.cut(F.col("t"), 10).alias("c")).collect()
+    assert {r.i: r.c for r in got} == {i: c for i, (_, c) in enumerate(rows)}
+
+
+def test_mining_retries_and_leaves_failed_files(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def model(chunk):
+        calls.add(1)
+        return None if "bad" in chunk else '[{"category": "Lesson", "content": "something worth keeping"}]'
+
+    files = spark.createDataFrame([(p, p, t, "git", "pr") for p, t in (("good", "g" * 300), ("poor", "bad " * 60), ("short", "s"), ("known", "k" * 300))], "path string, file_hash string, text string, source string, project string")
+    found, done = mining.mine(files, files.filter("path = 'known'"), model)
+    assert [r.path for r in found.collect()] == ["good"] and found.count() == 1
+    assert {r.path: (r.facts_written, r.skipped) for r in done.collect()} == {"good": (1, False), "short": (0, True)}
+    assert calls.value == 1 + mining.TRIES
 
 
 def test_nightly_runs(spark):
