@@ -41,8 +41,13 @@ BLOCK = frozenset(
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = frozenset("ul ol menu dl table tbody thead tfoot div section article aside main nav header footer form body html fieldset blockquote figure details".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+#: Start tags that may stand in a head; any other one, or text, ends it.
+IN_HEAD = frozenset("head title script style meta link base noscript template".split())
+
+_MARKUP = re.compile(r"<(?=[A-Za-z/!?])")
+_NAME_END = re.compile(r"[\s/>]")
+_ATTRIBUTE = re.compile(r"[^\s/>]+")
+_NAMED = frozenset(("class", "id", "role"))
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
 
@@ -57,69 +62,182 @@ class Block:
     linked: int
 
 
+@dataclass
+class Tag:
+    """A start or end tag, the values of its attributes by name, and whether it ends in a slash."""
+
+    name: str
+    closing: bool
+    attributes: dict[str, str]
+    empty: bool
+
+
+def read_tag(page: str, at: int) -> tuple[Tag | None, int]:
+    """The tag whose name begins at ``at`` and where the page goes on; None if the page ends within it.
+
+    Attributes are read as the standard does: a quote only opens a value right after the equals sign, so that other
+    quotes are characters like any.  Only an unclosed value, which would swallow text, is read otherwise: if no quote
+    follows, or the next one has a ``>`` before it and no end of a value behind it, the value ends at the first ``>``.
+    """
+    closing = page[at] == "/"
+    at += closing
+    stop = _NAME_END.search(page, at)
+    if not stop:
+        return None, len(page)
+    tag, i, n = Tag(page[at : stop.start()].lower(), closing, {}, False), stop.start(), len(page)
+    while i < n:
+        ch = page[i]
+        if ch == ">":
+            return tag, i + 1
+        if ch == "/" or ch.isspace():
+            tag.empty = ch == "/" or (tag.empty and ch != "/")
+            i += 1
+            continue
+        tag.empty = False
+        word = _ATTRIBUTE.match(page, i)
+        equals = page.find("=", i + 1, word.end())
+        if equals < 0:
+            name, i = word[0].lower(), word.end()
+            k = i
+            while k < n and page[k].isspace():
+                k += 1
+            if k >= n or page[k] != "=":
+                tag.attributes.setdefault(name, "")
+                continue
+            i = k + 1
+        else:
+            name, i = page[i:equals].lower(), equals + 1
+        while i < n and page[i].isspace():
+            i += 1
+        if i < n and page[i] in "\"'":
+            shut, over = page.find(page[i], i + 1), page.find(">", i + 1)
+            if shut < 0 or (0 <= over < shut and not (page[shut + 1 : shut + 2] in "/>" or page[shut + 1].isspace())):
+                shut = over
+            if shut < 0:
+                return None, n
+            tag.attributes.setdefault(name, page[i + 1 : shut])
+            i = shut + (page[shut] != ">")
+        else:
+            k = i
+            while k < n and page[k] != ">" and not page[k].isspace():
+                k += 1
+            tag.attributes.setdefault(name, page[i:k])
+            i = k
+    return None, n
+
+
+def tokens_of(page: str) -> Iterator[str | Tag]:
+    """Texts and tags of a page, in order and in linear time; comments and declarations are left out.
+
+    What a script, style, text area or title holds is passed over as a whole; so is the rest of the page if such an
+    element is never closed.
+    """
+    at, n = 0, len(page)
+    while at < n:
+        m = _MARKUP.search(page, at)
+        if not m:
+            yield page[at:]
+            return
+        if m.start() > at:
+            yield page[at : m.start()]
+        at = m.end()
+        ch = page[at]
+        if page.startswith("!--", at):
+            stop = at + 3 if page.startswith(("!-->", "!--->"), at) else page.find("-->", at + 3)
+            at = n if stop < 0 else page.find(">", stop) + 1
+        elif page.startswith("![CDATA[", at):
+            stop = page.find("]]>", at + 8)
+            yield page[at + 8 : n if stop < 0 else stop]
+            at = n if stop < 0 else stop + 3
+        elif ch in "!?" or (ch == "/" and not page[at + 1 : at + 2].isalpha()):
+            if ch == "/" and at + 1 >= n:
+                yield "</"
+                return
+            stop = page.find(">", at)
+            at = n if stop < 0 else stop + 1
+        else:
+            tag, at = read_tag(page, at)
+            if tag is None:
+                return
+            yield tag
+            if tag.name in RAW and not tag.closing:
+                stop = re.compile(rf"</{tag.name}(?=[\s/>])", re.IGNORECASE).search(page, at)
+                at = stop.start() if stop else n
+
+
 def blocks_of(page: str | None) -> list[Block]:
-    """The leaf blocks of a page; any input gives some list, broken markup included."""
-    page = page or ""
+    """The leaf blocks of a page; any input gives some list, broken markup included.
+
+    ``body``, any element that can't stand in a head, and text end a head that isn't closed.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: dict[str, int] = {}  # open elements by tag, open block elements in order, and how often a name stands above
+    blocks: list[str] = []
+    above: dict[str, int] = {}
     buffer: list[str] = []
-    linked = links = 0
-    skipping = 0
+    linked = skipping = 0
 
     def flush() -> None:
         nonlocal linked
         if buffer:
             text = _SPACE.sub(" ", "".join(buffer)).strip()
             if text:
-                names = tuple(dict.fromkeys(n for _, own in stack for n in own))
-                tag = next((t for t, _ in reversed(stack) if t in BLOCK), "")
-                out.append(Block(text, names, tag, linked))
+                out.append(Block(text, tuple(above), blocks[-1] if blocks else "", linked))
             buffer.clear()
         linked = 0
 
-    def pop(n: int) -> None:
-        nonlocal links, skipping
-        for tag, _ in stack[n:]:
-            links -= tag == "a"
-            skipping -= tag in SKIPPED
-        del stack[n:]
+    def drop(k: int) -> None:
+        """The element at place k goes; those above it stay."""
+        nonlocal skipping
+        tag, own = stack.pop(k)
+        opened[tag] -= 1
+        skipping -= tag in SKIPPED
+        if tag in BLOCK:
+            blocks.pop()
+        for x in own:
+            above[x] -= 1
+            if not above[x]:
+                del above[x]
+
+    def pop(k: int) -> None:
+        while len(stack) > k:
+            drop(len(stack) - 1)
+
+    def end_head(whole: bool = False) -> None:
+        if opened.get("head"):
+            k = next(i for i, (t, _) in enumerate(stack) if t == "head")
+            if whole or k == len(stack) - 1:
+                pop(k)
 
-    def say(raw: str) -> None:
-        nonlocal linked
-        if raw and not skipping:
-            text = html_lib.unescape(raw)
-            buffer.append(text)
-            if links:
-                linked += len(text.strip())
-
-    at = 0
-    while True:
-        m = _TAG.search(page, at)
-        if not m:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
-            say(m[1] or "")
+    for token in tokens_of(page or ""):
+        if isinstance(token, str):
+            if token.strip():
+                end_head()
+            if not skipping:
+                text = html_lib.unescape(token)
+                buffer.append(text)
+                if opened.get("a"):
+                    linked += len(text.strip())
             continue
-        tag, closing = m[3].lower(), bool(m[2])
+        tag = token.name
+        if tag not in IN_HEAD and not token.closing:
+            end_head(tag == "body")
         if tag in VOID:
             if tag == "br" and not skipping:
                 buffer.append(" ")
             elif tag == "hr":
                 flush()
             continue
-        if closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if k >= 0 and not (tag not in BLOCK and any(t in BLOCK for t, _ in stack[k + 1 :])):
-                if any(t in BLOCK for t, _ in stack[k:]):
-                    flush()
-                pop(k)
-            elif k >= 0:  # an inline end across blocks: the inline element alone goes
-                links -= tag == "a"
-                skipping -= tag in SKIPPED
-                del stack[k]
+        if token.closing:
+            if opened.get(tag):
+                k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+                if tag not in BLOCK and any(t in BLOCK for t, _ in stack[k + 1 :]):
+                    drop(k)  # an inline end across blocks: the inline element alone goes
+                else:
+                    if any(t in BLOCK for t, _ in stack[k:]):
+                        flush()
+                    pop(k)
             continue
         if tag in BLOCK:
             flush()
@@ -129,17 +247,15 @@ def blocks_of(page: str | None) -> list[Block]:
                 while k > 0 and stack[k - 1][0] in ends:
                     k -= 1
                 pop(k)
-        own = (f"a:{tag}",)
-        for n in _NAMES.finditer(m[4]):
-            own += tuple(f"c:{x}" for x in _PART.findall((n[2] or n[3] or n[4] or "").lower()))
-        if not m[4].rstrip().endswith("/"):
-            stack.append((tag, own))
-            links += tag == "a"
+        if not token.empty:
+            own = tuple(f"c:{x}" for name, value in token.attributes.items() if name in _NAMED for x in _PART.findall(value.lower()))
+            stack.append((tag, (f"a:{tag}", *own)))
+            opened[tag] = opened.get(tag, 0) + 1
             skipping += tag in SKIPPED
-            if tag in RAW:
-                stop = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-                at = stop.end() if stop else len(page)
-                pop(len(stack) - 1)
+            if tag in BLOCK:
+                blocks.append(tag)
+            for x in stack[-1][1]:
+                above[x] = above.get(x, 0) + 1
     flush()
     return out
 
@@ -346,8 +462,9 @@ def main_text(page: str | None, field: Field) -> str:
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """``(page_id, url, text, n_chars)``: the main text of every page.
 
-    Null and empty pages, and those without main text, have an empty text; repeated rows are repeated; null ids and urls
-    are carried through; an empty table gives no rows; further columns are ignored.  Rows don't depend on one another.
+    Null and empty pages, and those without main text, have an empty text; very long pages are read whole, in linear time,
+    one at a time; repeated rows are repeated; null ids and urls are carried through; an empty table gives no rows;
+    further columns are ignored.  Rows don't depend on one another.
     """
     small_batches(pages.sparkSession)
     field = field or default_field()

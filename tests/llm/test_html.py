@@ -68,6 +68,32 @@ def test_blocks(page, texts):
     assert [b.text for b in H.blocks_of(page)] == texts
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<html><head><title>t</title><body><article><h1>H</h1><p>one", ["H", "one"]), ("<head><title>t</title><meta charset=utf-8><p>one", ["one"]), ("<head><title>t</title>plain words", ["plain words"]), ("<head><noscript><p>no</p><body><p>yes", ["yes"]),
+        ("<p>See <a href=/x title=it's>this</a> now</p><p>More.</p><p>That's all.", ["See this now", "More.", "That's all."]), ('<p title="x>Unbalanced text</p>', ["Unbalanced text"]), ("<p title='x>One</p><p class='y'>Two", ["One", "Two"]),
+        ('<p title="a > b" class=c>q</p>', ["q"]), ('<a href="/x"class="y">link</a>', ["link"]), ("<p data-x = '<b>no</b>' >yes", ["yes"]), ("<p a=b/c>x<br/>y</p>", ["x y"]), ("a</ b>c", ["ac"]), ("<p <b>>x", [">x"]), ("x<p", ["x"]), ("<!-->a<!--->b<!-- c -->d", ["abd"]),
+        ("<script>if (a<b) '</scr'</SCRIPT >t", ["t"]), ("<p>1 < 2 and 3 > 2", ["1 < 2 and 3 > 2"]), ("<title>a<p>b</title><p>c", ["c"]),
+    ],
+)
+def test_markup_of_the_wild(page, texts):
+    assert [b.text for b in H.blocks_of(page)] == texts
+
+
+@pytest.mark.parametrize("part", ["<p a='x>t", '<p a="x>t', "<p title=it's>t", "<div>t", "<b>t</i>", "<!-- x", "<a href=", "<![CDATA[x", "</p", '<p a="x"b=\'>'])
+def test_time_is_linear(part):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        H.blocks_of(part * n)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(16_000) < 12 * max(seconds(4000), 0.02)
+
+
 def test_edge_cases(spark, field):
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
     rows = [(1, None, None), (1, None, None), (None, "u", ""), (2, "u", "<article><p>" + "Long text, here. " * 60_000 + "</article>"), (3, "u", deep), (4, "u", "\x00<<<>>>&&;")]
