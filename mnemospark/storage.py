@@ -1,7 +1,8 @@
 """Where intermediate tables live, and how lineage is cut.
 
 Everything that must outlive an executor goes to the folder the cluster names in ``spark.checkpoint.dir``.  Only where
-that setting is absent (unit tests, a laptop) is a temporary folder chosen, once per session.
+that setting is absent and driver and executors are one machine (unit tests, a laptop) is a temporary folder chosen, once
+per session.
 """
 
 from __future__ import annotations
@@ -12,22 +13,43 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="mnemospark-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a durable cut of the lineage."""
+    """Write ``df`` as Parquet to the shared folder and read it back: a durable cut of the lineage.
+
+    The shuffle files of the write go as soon as the table stands.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
