@@ -1,239 +1,405 @@
-"""Quality classifier: an interpolated modified Kneser-Ney character model trained on trusted text.
-
-N-grams are of ``ORDER`` characters, packed 12 bits each into a long: code points under 3,072 stand for themselves,
-others share 1,024 hashed classes.  Every text is padded with begin marks and one end mark, and each language has a model
-of its own.  Counts, discounts and probabilities are tables made by grouped sums and joins:
-
-1. raw counts of the highest order over all trusted text, pre-aggregated in each task;
-2. continuation counts of the lower orders: how many different characters stand to the left;
-3. discounts from the counts of counts of each order, and the mass that each context hands down;
-4. the probability of every n-gram that occurs anywhere in the corpus, by joining upwards order by order.
-
-The probabilities are sharded by hash, ``SHARD_ROWS`` to a shard; each shard is joined in the memory of the workers
-with all documents, whose sums grow shard by shard, so no text moves.  The number of shards follows the table, which
-follows the corpus.
-
-A document's perplexity is exp of the mean negative log-probability of its characters and end mark.  A document is
-rejected if that is over the ``QUANTILE`` quantile of its language: that of the trusted documents which were held out of
-training, as the others look too good to their own model.  The mean over few characters scatters more, so the quantile
-is taken of excesses: log-perplexity over the language's median, divided by sqrt(1 + ``SHORT`` / characters).  A language
-with fewer than ``FEW`` held-out documents, where the quantile would hang on one or two of them, takes the quantile of
-the excesses of all languages above its own median.  Languages without a model or without held-out documents have no
-threshold; their documents are kept.
+"""Quality classifier: an interpolated modified Kneser-Ney bigram model of words, trained on trusted text.
+
+Words are runs of letters and digits; other marks, and the letters of scripts that leave no space between words, are
+words of their own.  Each language has a model: a bigram's count is discounted by 1, 2 or 3+, what the discounts free
+goes to the unigrams, which are counts of different left neighbours, discounted in the same way over an even
+distribution.
+
+The log-probability of a text is a sum over its words and bigrams, each times a weight of its own:
+
+    log p(b | a) = [log p1(b) - log u] + log g(a) + [log(1 + kept(a, b) / (total(a) g(a) p1(b))) if ab was seen] + log u
+
+with u for an unknown word and g(a) for the mass that context a hands down.  So a perplexity is one join of all words and
+bigrams of a document with a table of weights, and a sum: the sharded count join.  Words and bigrams are 64-bit hashes,
+seeded by the language.  The key range is cut into ``PASSES`` equal parts.  Each pass
+
+1. counts the trusted bigrams of its part, joins what training knows of their two words, and has the part's weights;
+2. sends the corpus' words and bigrams of its part to buckets of keys, where they meet the weights, and adds up.
+
+A pass holds one part of the counts and of the corpus' bigrams on disk; the number of passes is fixed and that of
+buckets follows the corpus.  What goes through a bucket is packed: a row has the sorted keys of some million words of
+text with the places of their documents.  Keys that make up more than 1 / ``RARE`` of all are few by arithmetic; their
+weights are sent to the workers, so that no bucket is hot.
+
+A document's perplexity is exp of the mean negative log-probability of its words and its end.  A document is rejected if
+that is over the ``QUANTILE`` quantile of its language: that of the trusted documents which were held out of training, as
+the others look too good to their own model.  The mean over few words scatters more, so the quantile is taken of
+excesses: log-perplexity over the language's median, divided by sqrt(1 + ``SHORT`` / words).  A language with fewer than
+``FEW`` held-out documents, where the quantile would hang on one or two of them, takes the quantile of the excesses of all
+languages above its own median.  Languages without a model or without held-out documents have no threshold; their
+documents are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import struct
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm.common import small_batches
-from mnemospark.storage import broadcast_within, materialise
+from mnemospark.storage import broadcast_within, discard, materialise
 
-#: Characters of the longest n-gram, and bits of a character.
-ORDER, BITS = 5, 12
 #: Discounts of counts 1, 2 and more where the counts of counts are too few to tell.
 DISCOUNTS = (0.5, 0.75, 0.9)
 #: One in so many trusted documents, by a hash of its id, sets the thresholds and trains nothing.
 HELD_OUT = 5
 #: Held-out quantile that is a language's threshold.
 QUANTILE = 0.99
-#: Characters of a text whose scatter is twice (in variance) that of a long one, and held-out documents that a language's own quantile needs.
+#: Words of a text whose scatter is twice (in variance) that of a long one, and held-out documents that a language's own quantile needs.
 SHORT, FEW = 30, 1000
-#: Rows of the probability table in one shard, and characters a worker gathers before it sums them up.
-SHARD_ROWS, GATHER = 4_000_000, 4_000_000
-#: Rows of the label table that may be broadcast.
-MAX_LABELS = 2_000_000
-_BEGIN, _END = 2, 3
-_OWN, _CLASSES = 3072, 1024
-
-
-def grams(text: str) -> np.ndarray:
-    """The packed n-grams of a text, one for each character and one for its end."""
-    a = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-    high = a >= _OWN
-    if high.any():
-        a = np.where(high, _OWN + (a * 2654435761 >> 7) % _CLASSES, a)
-    a = np.concatenate((np.full(ORDER - 1, _BEGIN), a, [_END]))
-    n = len(a) - ORDER + 1
-    g = a[:n].copy()
-    for i in range(1, ORDER):
-        g <<= BITS
-        g |= a[i : n + i]
-    return g
-
-
-_COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, text) to (lang, gram, n), summed over some millions of characters at a time."""
-    held: dict[str, list[np.ndarray]] = {}
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, parts in held.items():
-            g, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n.astype(np.int64))], schema=_COUNTS)
-        held.clear()
+#: Most letters of a word; longer ones are cut.
+PIECE = 6
+#: Parts of the key range, words and bigrams of the corpus that one bucket gets about, and characters a word takes about.
+PASSES, BUCKET, WORD_CHARS = 6, 2_000_000, 5
+#: Characters that a worker gathers before it sums or packs their words, and most documents among them.
+GATHER, MOST_DOCS = 4_000_000, 65_535
+#: Keys with a share over one in so many are scored where the text is.
+RARE = 4_000
+#: Rows of the label table, and languages, that may be broadcast.
+MAX_LABELS, MAX_LANGS = 2_000_000, 100_000
+
+#: Scripts written without spaces (Thai to Tibetan, Myanmar, Khmer, Kana, Han), a word each letter.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_GAP = re.compile(r"\s")
+#: Beyond all characters: a text's begin and end.
+_BEGIN, _END = 0x110000, 0x110001
+_MARK = {x: np.array([x], "<u4").tobytes() for x in (_BEGIN, _END)}
+
+
+# --- words, bigrams and their keys
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """By code point: 0 for white space, 1 for what words are made of, 2 for a word of its own."""
+    out = np.full(_END + 1, 2, np.uint8)
+    for i in range(_BEGIN):
+        c = chr(i)
+        if c.isalnum() or c == "_":
+            out[i] = 1
+        elif c.isspace() and c != "\n":
+            out[i] = 0
+    for low, high in UNSPACED:
+        out[low : high + 1] = 2
+    return out
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The keys of bigrams."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for _ in range(2):
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def cell(keys: np.ndarray, cells: int) -> np.ndarray:
+    """Which of ``cells`` equal parts of the key range."""
+    return ((keys >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+
+
+def words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin, in code points, and the words' hashes."""
+    kind = np.concatenate((kinds()[codes], np.zeros(PIECE, np.uint8)))
+    codes = np.concatenate((codes, np.zeros(PIECE, codes.dtype)))
+    letter = kind == 1
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    place = np.arange(len(kind), dtype=np.int32)
+    in_run = place - np.maximum.accumulate(np.where(first, place, 0))
+    at = np.flatnonzero((kind == 2) | (letter & (in_run % PIECE == 0)))
+    h, on = codes[at].astype(np.uint64), letter[at]
+    h[on & first[at] & (at > 0) & (codes[at - 1] == 32)] += np.uint64(1 << 32)
+    for j in range(1, PIECE):
+        on &= letter[at + j]
+        h[on] = h[on] * np.uint64(0x9E3779B97F4A7C15) + codes[at[on] + j]
+    return at, h
+
+
+class Chunk:
+    """Words of some documents, one after the other: hashes with begin and end marks, the document of each, its row.
+
+    A word carried over from the chunk before, whose document goes on here, is a context only.
+    """
+
+    def __init__(self, parts: list[bytes], rows: list[tuple], carried: np.ndarray):
+        codes = np.frombuffer(b"".join(parts), "<u4")
+        at, h = words(codes)
+        self.rows, self.own = rows, slice(len(carried), None)
+        doc = np.cumsum(codes[at] == _BEGIN, dtype=np.int32) - np.int32(not len(carried))
+        seeds = np.array([r[-1] for r in rows], np.int64).view(np.uint64)
+        self.seq = np.concatenate((carried, mix(h, seeds[doc])))
+        self.doc = np.concatenate((np.zeros(len(carried), np.int32), doc))
+        inside = self.doc[1:] == self.doc[:-1]
+        self.left, self.right, self.pair_doc = self.seq[:-1][inside], self.seq[1:][inside], self.doc[1:][inside]
+        self.pairs = mix(self.left, self.right)
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    """Rows (..., lang, text), with the language's hash, as chunks of about ``GATHER`` characters.
 
+    A longer text goes on in the next chunk; it is only cut before white space.
+    """
+    parts: list[bytes] = []
+    rows: list[tuple] = []
+    size, carried = 0, np.empty(0, np.uint64)
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for at in range(0, max(1, len(text)), GATHER):  # a text of any length, in overlapping parts
-                g = grams(text) if len(text) <= GATHER else _slice(text, at)
-                held.setdefault(lang, []).append(g)
-                size += len(g)
-                if size >= GATHER:
-                    yield from flush()
-                    size = 0
-    yield from flush()
-
-
-def _slice(text: str, at: int) -> np.ndarray:
-    """The n-grams of the characters from ``at`` on, ``GATHER`` of them at most; the last part has the end mark."""
-    low = max(0, at - ORDER + 1)
-    last = at + GATHER >= len(text)
-    g = grams(text[low : at + GATHER])
-    return g[at - low if low else 0 : len(g) if last else -1]
-
-
-def _plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """``(lang, gram, n)`` over all rows of ``docs``."""
-    return _plain(docs).mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def _low(gram: Column, order: int) -> Column:
-    return gram.bitwiseAND(F.lit((1 << (BITS * order)) - 1))
-
-
-def discounts(counts: DataFrame) -> DataFrame:
-    """``(lang, d1, d2, d3)`` of one order from its counts of counts; ``DISCOUNTS`` where these give none between 0 and the count."""
-    c = counts.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == i, 1.0).otherwise(0.0)).alias(f"n{i}") for i in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    out = []
-    for i, default in enumerate(DISCOUNTS, 1):
-        d = F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))
-        out.append(F.when((d > 0) & (d < i), d).otherwise(F.lit(default)).alias(f"d{i}"))
-    return c.select("lang", *out)
-
-
-def log_probabilities(trusted: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(lang, gram, lp)`` for the wanted ``(lang, gram)``, from the trusted ``(lang, gram, n)``; languages without trusted text drop out."""
-    orders = {ORDER: trusted}
-    for order in range(ORDER - 1, 0, -1):
-        orders[order] = materialise(orders[order + 1].groupBy("lang", _low(F.col("gram"), order).alias("gram")).agg(F.count("*").alias("n")), "continuations")
-    # Below the characters stands the even distribution over those that were seen and one for all others.
-    below = orders[1].groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("p"))
-    p = wanted.select("lang", _low(F.col("gram"), 1).alias("gram")).distinct().join(F.broadcast(below), "lang")
-    for order in range(1, ORDER + 1):
-        d = discounts(orders[order])
-        seen = orders[order].join(F.broadcast(d), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        seen = seen.select("lang", "gram", F.col("n").cast("double").alias("n"), "d", F.shiftright("gram", BITS).alias("context"))
-        handed = seen.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("handed"))
-        if order > 1:
-            p = wanted.select("lang", _low(F.col("gram"), order).alias("gram")).distinct().withColumn("suffix", _low(F.col("gram"), order - 1)).join(p.withColumnRenamed("gram", "suffix"), ["lang", "suffix"]).drop("suffix")
-        q = p.join(seen.select("lang", "gram", (F.col("n") - F.col("d")).alias("kept")), ["lang", "gram"], "left").withColumn("context", F.shiftright("gram", BITS)).join(handed, ["lang", "context"], "left")
-        p = q.select("lang", "gram", F.coalesce((F.greatest(F.coalesce("kept", F.lit(0.0)), F.lit(0.0)) + F.col("handed") * F.col("p")) / F.col("total"), F.col("p")).alias("p"))
-        p = materialise(p, "probabilities") if order < ORDER else p
-    return p.select("lang", "gram", F.log("p").cast("float").alias("lp"))
-
-
-class Table:
-    """One shard: packed n-grams to log-probabilities by language, found by open addressing."""
-
-    def __init__(self, by_lang: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.tables = {}
-        for lang, (keys, values) in by_lang.items():
-            bits = max(4, int(len(keys) * 2 - 1).bit_length())
-            slots, found = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
-            rest, at = np.arange(len(keys)), self.slot(keys, bits)
-            while len(rest):
-                free = slots[at] < 0
-                _, first = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
-                first = first[free[first]]
-                slots[at[first]], found[at[first]] = keys[rest[first]], values[rest[first]]
-                left = np.ones(len(rest), bool)
-                left[first] = False
-                rest, at = rest[left], (at[left] + ~free[left]) & ((1 << bits) - 1)
-            self.tables[lang] = (slots, found, bits)
-
-    @staticmethod
-    def slot(keys: np.ndarray, bits: int) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def total(self, lang: str, g: np.ndarray) -> float:
-        """The sum over those of the n-grams that this shard has."""
-        if lang not in self.tables:
-            return 0.0
-        slots, found, bits = self.tables[lang]
-        at, out = self.slot(g, bits), 0.0
-        while True:
-            there = slots[at]
-            hit = there == g
-            out += float(found[at[hit]].sum(dtype=np.float64))
-            more = ~hit & (there >= 0)
-            if not more.any():
-                return out
-            g, at = g[more], (at[more] + 1) & ((1 << bits) - 1)
+        for *row, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            rows.append(tuple(row))
+            parts.append(_MARK[_BEGIN])
+            at = 0
+            while len(text) - at > GATHER - size and (gap := _GAP.search(text, at + max(1, GATHER - size))):
+                parts.append(text[at : gap.start()].encode("utf-32-le", "surrogatepass"))
+                c = Chunk(parts, rows, carried)
+                yield c
+                at, parts, rows, size, carried = gap.start(), [], [tuple(row)], 0, c.seq[-1:]
+            parts += [text[at:].encode("utf-32-le", "surrogatepass"), _MARK[_END]]
+            size += len(text) - at + 2
+            if size >= GATHER or len(rows) >= MOST_DOCS:
+                yield Chunk(parts, rows, carried)
+                parts, rows, size, carried = [], [], 0, np.empty(0, np.uint64)
+    if rows:
+        yield Chunk(parts, rows, carried)
+
+
+# --- training
+
+_PAIRS = "lang long, key long, a long, b long, n long"
+
+
+def _rows(schema: str, *columns) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "binary": pa.binary()}
+    signed = [c.view(np.int64) if isinstance(c, np.ndarray) and c.dtype == np.uint64 else c for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(signed, fields, strict=True)], names=[x for x, _ in fields])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """``(k1, k2, lang, text)``: two hashes that name a text in its language, the language's hash."""
+    lang, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "text"))
+    return docs.select(*_keys(docs), F.xxhash64(lang).alias("lang"), text.alias("text"))
+
+
+def _keys(docs: DataFrame) -> list[Column]:
+    lang, text = (F.coalesce(docs[c].cast("string"), F.lit("")) for c in ("lang", "text"))
+    return [F.xxhash64(lang, text).alias("k1"), F.xxhash64(text, lang, F.lit(1)).alias("k2")]
+
+
+def bigrams(texts: DataFrame, part: int, parts: int) -> DataFrame:
+    """``(lang, key, a, b, n)``: how often each bigram of a part of the key range stands in the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches):
+            at = np.flatnonzero(cell(c.pairs, parts) == part)
+            keys, first, n = np.unique(c.pairs[at], return_index=True, return_counts=True)
+            first = at[first]
+            langs = np.array([r[-1] for r in c.rows], np.int64)
+            yield _rows(_PAIRS, langs[c.pair_doc[first]], keys, c.left[first], c.right[first], n.astype(np.int64))
+
+    return texts.select("lang", "text").mapInArrow(run, _PAIRS).groupBy("lang", "key", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def word_counts(texts: DataFrame, parts: int) -> DataFrame:
+    """``(lang, w, total, c1, c2, c3, c4, more, lefts)``: how often a word is a context, of how many bigrams seen once, twice, thrice, four times, thrice or more, and how many different words stand before it."""
+    out = None
+    for part in range(parts):
+        n = F.col("n")
+        ends = F.explode(F.array(F.struct(F.col("a").alias("w"), n.alias("n"), F.lit(0).alias("left")), F.struct(F.col("b").alias("w"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("left"))))
+        one = bigrams(texts, part, parts).select("lang", ends.alias("x")).select("lang", "x.*")
+        is_n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+        one = one.groupBy("lang", "w").agg(F.sum("n").alias("total"), *[is_n(n == i).alias(f"c{i}") for i in (1, 2, 3, 4)], is_n(n >= 3).alias("more"), F.sum("left").alias("lefts"))
+        one = materialise(one, "word-parts")
+        out = one if out is None else out.unionByName(one)
+    return materialise(out.groupBy("lang", "w").agg(*[F.sum(c).alias(c) for c in ("total", "c1", "c2", "c3", "c4", "more", "lefts")]), "words")
+
+
+def _discount(i: int, ones: Column, twos: Column, here: Column, above: Column) -> Column:
+    """The modified discount of count i from the counts of counts; the default where they give none between 0 and i."""
+    d = F.when((ones > 0) & (here > 0), i - (i + 1) * ones / (ones + 2 * twos) * above / here)
+    return F.when((d > 0) & (d < i), d).otherwise(F.lit(DISCOUNTS[i - 1]))
+
+
+def language_stats(counts: DataFrame) -> DataFrame:
+    """``(lang, d1, d2, d3, e1, e2, e3, handed, total1, even, unknown)``: discounts of bigrams and unigrams, what unigrams hand down, of how much, to what, and the log-probability of an unknown word."""
+    lefts = F.col("lefts")
+    s = counts.groupBy("lang").agg(
+        *[F.sum(f"c{i}").alias(f"n{i}") for i in (1, 2, 3, 4)], *[F.sum(F.when(lefts == i, 1).otherwise(0)).alias(f"m{i}") for i in (1, 2, 3, 4)],
+        F.sum(F.when(lefts >= 3, 1).otherwise(0)).alias("more"), F.sum("lefts").alias("total1"), (1.0 / (F.sum(F.when(lefts > 0, 1).otherwise(0)) + 1)).alias("even"),
+    )
+    for name, m in (("d", "n"), ("e", "m")):
+        s = s.withColumns({f"{name}{i}": _discount(i, F.col(f"{m}1"), F.col(f"{m}2"), F.col(f"{m}{i}"), F.col(f"{m}{i + 1}")) for i in (1, 2, 3)})
+    s = s.withColumn("handed", F.col("e1") * F.col("m1") + F.col("e2") * F.col("m2") + F.col("e3") * F.col("more"))
+    return s.select("lang", "d1", "d2", "d3", "e1", "e2", "e3", "handed", "total1", "even", F.log(F.col("handed") * F.col("even") / F.col("total1")).alias("unknown"))
+
+
+def _discounted(n: Column, name: str) -> Column:
+    return n - F.when(n == 1, F.col(f"{name}1")).when(n == 2, F.col(f"{name}2")).otherwise(F.col(f"{name}3"))
 
 
 class Model:
-    """The probability table, cut into shards of a bounded size, and the languages it knows."""
-
-    def __init__(self, table: DataFrame):
-        self.table = materialise(table, "probabilities")
-        self.shards = max(1, -(-self.table.count() // SHARD_ROWS))
-        self.sent: dict[int, Broadcast] = {}
-
-    def shard(self, i: int) -> Broadcast:
-        """At most about ``SHARD_ROWS`` rows by language, sent once however often it is used."""
-        if i not in self.sent:
-            own = self.table.filter(F.pmod(F.xxhash64("lang", "gram"), F.lit(self.shards)) == i).toArrow()
-            lang = own.column("lang").combine_chunks().dictionary_encode()
-            lang = lang.chunk(0) if isinstance(lang, pa.ChunkedArray) else lang
-            order = np.argsort(lang.indices.to_numpy(zero_copy_only=False), kind="stable")
-            cuts = np.cumsum(np.bincount(lang.indices.to_numpy(zero_copy_only=False), minlength=len(lang.dictionary)))[:-1]
-            parts = np.split(order, cuts) if len(lang.dictionary) else []
-            gram, lp = own.column("gram").to_numpy(), own.column("lp").to_numpy()
-            by_lang = {k: (gram[at], lp[at]) for k, at in zip(lang.dictionary.to_pylist(), parts, strict=True)}
-            self.sent[i] = self.table.sparkSession.sparkContext.broadcast(by_lang)
-            del own, lang, order, parts, gram, lp, by_lang
-            pa.default_memory_pool().release_unused()
-        return self.sent[i]
-
-    def add_scores(self, docs: DataFrame) -> DataFrame:
-        """``docs``, all columns, with ``_ppl``; null for a language without a model.  No row moves."""
-        spark, names = docs.sparkSession, docs.columns
-        small_batches(spark)
-        lang_at, text_at = names.index("lang"), names.index("text")
-        df = docs.withColumn("_nll", F.lit(0.0)).withColumn("_n", F.lit(0).cast("long"))
-        for i in range(self.shards):
-            sent = self.shard(i)
-
-            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                table = Table(sent.value)
-                for b in batches:
-                    nll, n = b.column(len(names)).to_pylist(), []
-                    for k, (lang, text) in enumerate(zip(b.column(lang_at).to_pylist(), b.column(text_at).to_pylist(), strict=True)):
-                        lang, text = lang or "", text or ""
-                        for at in range(0, max(1, len(text)), GATHER):
-                            nll[k] -= table.total(lang, grams(text) if len(text) <= GATHER else _slice(text, at))
-                        n.append(len(text) + 1)
-                    columns = [*b.columns[: len(names)], pa.array(nll, pa.float64()), pa.array(n, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
-
-            df = df.mapInArrow(run, df.schema)
-        known = broadcast_within(self.table.select(F.col("lang").alias("_lang")).distinct(), 100_000)
-        return df.join(known, F.coalesce(df["lang"].cast("string"), F.lit("")) == F.col("_lang"), "left").select(*[df[c] for c in names], F.when(F.col("_lang").isNotNull(), F.exp(F.col("_nll") / F.col("_n"))).alias("_ppl"))
+    """What training knows of words and languages, and the trusted texts, whose bigrams are counted part by part."""
+
+    def __init__(self, trusted: DataFrame, parts: int):
+        self.trusted, self.parts = trusted, parts
+        counts = word_counts(trusted, -(-parts // 2))
+        self.stats = broadcast_within(materialise(language_stats(counts), "languages"), MAX_LANGS)
+        w = counts.join(self.stats, "lang")
+        p1 = (F.when(F.col("lefts") > 0, _discounted(F.col("lefts"), "e")).otherwise(0.0) + F.col("handed") * F.col("even")) / F.col("total1")
+        down = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("more")) / F.col("total")
+        w = w.select("lang", "w", "total", "unknown", p1.alias("p1"), F.when(F.col("total") > 0, down).alias("down"))
+        weight = F.log("p1") - F.col("unknown") + F.coalesce(F.log("down"), F.lit(0.0))
+        self.words = materialise(w.select("w", "p1", (F.col("total") * F.col("down")).alias("scale"), weight.alias("weight")), "word-weights")
+
+    def weights(self, part: int) -> DataFrame:
+        """``(key, weight)`` of the words and bigrams in one part of the key range."""
+        left, right = self.words.select(F.col("w").alias("a"), "scale"), self.words.select(F.col("w").alias("b"), "p1")
+        seen = bigrams(self.trusted, part, self.parts).join(left, "a").join(right, "b").join(self.stats.select("lang", "d1", "d2", "d3"), "lang")
+        pairs = seen.select("key", F.log1p(_discounted(F.col("n"), "d") / (F.col("scale") * F.col("p1"))).cast("float").alias("weight"))
+        high = F.shiftrightunsigned("w", 32)
+        own = self.words.filter(F.shiftright(high * self.parts, 32) == part).select(F.col("w").alias("key"), F.col("weight").cast("float").alias("weight"))
+        return pairs.unionByName(own)
+
+
+# --- scoring
+
+_SENT, _ADDED = "bucket int, kind int, key long, weight float, packed binary", "chunk long, at int, k1 long, k2 long, lang long, s double, n long"
+_HEAD = "<qqq"
+_HEAD_BYTES = struct.calcsize(_HEAD)
+
+
+def pack(chunk: int, keys: np.ndarray, at: np.ndarray) -> bytes:
+    """Sorted keys and the places of their documents; bytes of one rank stand together, which packs sorted keys well."""
+    at = at.astype("<u2")
+    body = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() + np.ascontiguousarray(at.view(np.uint8).reshape(-1, 2).T).tobytes()
+    return struct.pack(_HEAD, chunk, len(keys), len(body)) + zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpack(packed: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    chunk, n, size = struct.unpack_from(_HEAD, packed)
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[_HEAD_BYTES:], max_output_size=size), np.uint8)
+    keys = np.ascontiguousarray(body[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1)
+    return chunk, keys, np.ascontiguousarray(body[8 * n :].reshape(2, n).T).view("<u2").reshape(-1)
+
+
+def frequent(texts: DataFrame) -> np.ndarray:
+    """Sorted keys with a share over 1.5 / ``RARE`` of all words and bigrams, and at most 2 * ``RARE`` in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches):
+            keys, n = np.unique(np.concatenate((c.seq[c.own], c.pairs)), return_counts=True)
+            total = int(n.sum())
+            often = n * RARE >= total
+            yield _rows("key long, n long, of long", keys[often], n[often].astype(np.int64), np.zeros(int(often.sum()), np.int64))
+            yield _rows("key long, n long, of long", [None], [0], [total])
+
+    counted = materialise(texts.select("lang", "text").mapInArrow(run, "key long, n long, of long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("of").alias("of")), "frequent")
+    total = counted.agg(F.sum("of")).first()[0] or 0
+    often = counted.filter(F.col("key").isNotNull() & (F.col("n") * (2 * RARE) >= total)).select("key").collect()  # at most 2 * RARE rows
+    discard(counted)
+    return np.sort(np.array([r.key for r in often], np.int64).view(np.uint64))
+
+
+def _sender(part: int, parts: int, buckets: int, often: np.ndarray, weights: np.ndarray) -> Callable:
+    """Chunks to packed rows by bucket, and for each chunk a row of its documents with what the frequent keys add."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches):
+            keys = np.concatenate((c.seq[c.own], c.pairs))
+            doc = np.concatenate((c.doc[c.own], c.pair_doc))
+            mine = cell(keys, parts) == part
+            keys, doc = keys[mine], doc[mine]
+            direct = np.zeros(len(c.rows))
+            if len(often):
+                k = np.minimum(np.searchsorted(often, keys), len(often) - 1)
+                hit = often[k] == keys
+                direct += np.bincount(doc[hit], weights[k[hit]], len(c.rows))
+                keys, doc = keys[~hit], doc[~hit]
+            order = np.argsort(keys, kind="stable")
+            keys, doc = keys[order], doc[order]
+            names = np.array(c.rows, np.int64)
+            # Chunks of the same texts have the same number, which does no harm: their sums and counts add up alike.
+            chunk = xxhash.xxh64_intdigest(names.tobytes()) >> 1
+            n = np.bincount(c.pair_doc, minlength=len(c.rows)).astype(np.int64) if not part else np.zeros(len(c.rows), np.int64)
+            own = cell(keys, buckets)
+            cuts = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(keys)])) if len(keys) else [0]
+            packed = [pack(chunk, keys[i:j], doc[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            bucket = [int(own[i]) for i in cuts[:-1]] + [buckets * part // parts]
+            docs = struct.pack(_HEAD, chunk, len(c.rows), 0) + names.tobytes() + direct.tobytes() + n.tobytes()
+            for i, row in enumerate([*packed, docs]):
+                yield _rows(_SENT, [bucket[i]], [1 if i < len(packed) else 2], [None], [None], [row])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, kind): the weights of a bucket, then the packed keys that look for theirs."""
+    now, keys, values, ready = None, [], [], False
+    for b in batches:
+        bucket, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        cuts = np.concatenate(([0], np.flatnonzero((bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(bucket)])) if len(bucket) else [0]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if bucket[i] != now:
+                now, keys, values, ready = bucket[i], [], [], False
+            if kind[i] == 0:
+                keys.append(b.column(2).slice(i, j - i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+                values.append(b.column(3).slice(i, j - i).to_numpy(zero_copy_only=False).astype(np.float64))
+                continue
+            if not ready:
+                known = np.concatenate([*keys, np.empty(0, np.uint64)])
+                order = np.argsort(known)
+                known, worth, ready = known[order], np.concatenate([*values, np.empty(0)])[order], True
+                keys, values = [], []
+            for packed in b.column(4).slice(i, j - i):
+                packed = packed.as_py()
+                if kind[i] == 2:
+                    chunk, n, _ = struct.unpack_from(_HEAD, packed)
+                    body = memoryview(packed)[_HEAD_BYTES:]
+                    names = np.frombuffer(body[: 24 * n], np.int64).reshape(n, 3)
+                    yield _rows(_ADDED, [chunk] * n, np.arange(n, dtype=np.int32), *(names[:, x] for x in range(3)), np.frombuffer(body[24 * n : 32 * n], np.float64), np.frombuffer(body[32 * n :], np.int64))
+                    continue
+                chunk, asked, at = unpack(packed)
+                if not len(known):
+                    continue
+                k = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                hit = known[k] == asked
+                s = np.bincount(at[hit], worth[k[hit]])
+                some = np.flatnonzero(np.bincount(at[hit]))
+                none = [None] * len(some)
+                yield _rows(_ADDED, [chunk] * len(some), some.astype(np.int32), none, none, none, s[some], np.zeros(len(some), np.int64))
+
+
+def scores(texts: DataFrame, model: Model) -> DataFrame:
+    """``(k1, k2, lang, ppl, n)`` of every text ``(k1, k2, lang, text)`` in a language that the model knows; n is its words and its end."""
+    spark, parts = texts.sparkSession, model.parts
+    known = texts.join(model.stats.select("lang"), "lang", "left_semi").select("k1", "k2", "lang", "text")
+    chars = known.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    buckets = parts * max(1, round(2 * chars / WORD_CHARS / BUCKET / parts))
+    often, sums = frequent(known), None
+    hot = broadcast_within(spark.createDataFrame([(k,) for k in often.view(np.int64).tolist()], "key long"), 2 * RARE + 1)
+    for part in range(parts):
+        weights = materialise(model.weights(part), "weights")
+        found = {r.key: r.weight for r in weights.join(hot, "key", "left_semi").collect()}  # at most 2 * RARE rows
+        worth = np.array([found.get(k, 0.0) for k in often.view(np.int64).tolist()])
+        bucket = F.shiftright(F.shiftrightunsigned("key", 32) * buckets, 32).cast("int")
+        sent = weights.select(bucket.alias("bucket"), F.lit(0).alias("kind"), "key", "weight", F.lit(None).cast("binary").alias("packed")).unionByName(known.mapInArrow(_sender(part, parts, buckets, often, worth), _SENT))
+        met = sent.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_added, _ADDED)
+        one = met.groupBy("chunk", "at").agg(*[F.max(c).alias(c) for c in ("k1", "k2", "lang")], F.sum("s").alias("s"), F.sum("n").alias("n"))
+        one = materialise(one, "sums")
+        discard(weights)
+        sums = one if sums is None else sums.unionByName(one)
+    whole = sums.groupBy("k1", "k2", "lang").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).join(model.stats.select("lang", "unknown"), "lang")
+    return materialise(whole.select("k1", "k2", "lang", F.exp(-F.col("unknown") - F.col("s") / F.col("n")).alias("ppl"), "n"), "scores")
+
+
+# --- labels and thresholds
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -242,65 +408,61 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return t.filter("doc_id is not null and quality = 1 and toxic = 0").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held"))
 
 
-def train(docs: DataFrame, trusted: DataFrame) -> Model:
-    """The model of all trusted documents, with a probability for every n-gram of ``docs``."""
-    small_batches(docs.sparkSession)
-    counts = materialise(gram_counts(trusted), "counts")
-    wanted = materialise(_plain(docs).mapInArrow(_counted, "lang string, gram long, n long").select("lang", "gram").distinct(), "wanted")
-    known = counts.select("lang").distinct()
-    return Model(log_probabilities(counts, wanted.join(broadcast_within(known, 100_000), "lang", "left_semi")))
+def _only(docs: DataFrame, labels: DataFrame, held: bool) -> DataFrame:
+    ids = broadcast_within(trusted_ids(labels).filter("held" if held else "not held").select("doc_id"), MAX_LABELS)
+    return docs.join(ids, docs["doc_id"].cast("long") == ids["doc_id"], "left_semi")
 
 
 def _scatter(n: Column) -> Column:
     return F.sqrt(1 + SHORT / n)
 
 
-def thresholds(scores: DataFrame, quantile: float = QUANTILE, few: int = FEW) -> DataFrame:
+def thresholds(scored: DataFrame, quantile: float = QUANTILE, few: int = FEW) -> DataFrame:
     """``(lang, centre, excess)`` from the ``(lang, ppl, n)`` of held-out documents, for ``threshold``."""
-    known = scores.filter("ppl is not null").select("lang", F.log("ppl").alias("x"), "n")
+    known = scored.filter("ppl is not null").select("lang", F.log("ppl").alias("x"), "n")
     centres = known.groupBy("lang").agg(F.percentile_approx("x", 0.5, 10_000).alias("centre"))
-    z = known.join(broadcast_within(centres, 100_000), "lang").select("lang", "centre", ((F.col("x") - F.col("centre")) / _scatter(F.col("n"))).alias("z"))
+    z = known.join(broadcast_within(centres, MAX_LANGS), "lang").select("lang", "centre", ((F.col("x") - F.col("centre")) / _scatter(F.col("n"))).alias("z"))
     own = z.groupBy("lang", "centre").agg(F.percentile_approx("z", quantile, 10_000).alias("own"), F.count("*").alias("held"))
     pooled = z.agg(F.percentile_approx("z", quantile, 10_000).alias("pooled"))
     return own.crossJoin(F.broadcast(pooled)).select("lang", "centre", F.when(F.col("held") >= few, F.col("own")).otherwise(F.col("pooled")).alias("excess"))
 
 
-def threshold(n: Column, of: str = "") -> Column:
-    """The perplexity that a text of n characters, its end mark among them, may have."""
-    return F.exp(F.col(f"{of}centre") + F.col(f"{of}excess") * _scatter(n))
+def threshold(n: Column) -> Column:
+    """The perplexity that a text of n words, its end among them, may have; sums that differ in their last digits decide nothing."""
+    return F.exp(F.col("centre") + F.col("excess") * _scatter(n) + 1e-9)
 
 
-def _n_scored() -> Column:
-    return F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))) + 1
-
-
-def _only(docs: DataFrame, labels: DataFrame, held: bool) -> DataFrame:
-    ids = trusted_ids(labels).filter("held" if held else "not held").select("doc_id")
-    return docs.join(broadcast_within(ids, MAX_LABELS), "doc_id", "left_semi").select(*docs.columns)
+def judged(docs: DataFrame, labels: DataFrame, parts: int = PASSES) -> DataFrame:
+    """``(k1, k2, perplexity, threshold, accepted)`` of the different texts of ``docs`` whose language has a model."""
+    small_batches(docs.sparkSession)
+    model = Model(_texts(_only(docs, labels, held=False)).select("lang", "text"), parts)
+    scored = scores(_texts(docs), model)
+    held = _only(docs, labels, held=True)
+    held = held.select(*_keys(held)).join(scored, ["k1", "k2"])
+    limits = broadcast_within(materialise(thresholds(held), "thresholds"), MAX_LANGS)
+    out = scored.join(limits, "lang", "left").withColumn("threshold", threshold(F.col("n")))
+    return materialise(out.select("k1", "k2", F.col("ppl").alias("perplexity"), "threshold", F.coalesce(F.col("ppl") <= F.col("threshold"), F.lit(True)).alias("accepted")), "judged")
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, parts: int = PASSES) -> DataFrame:
     """``(doc_id, lang, perplexity, threshold, accepted)`` for every row of ``docs``.
 
-    Null and empty texts are scored by their end mark alone; a null language is the language ''; repeated rows count
-    and are repeated; null doc_ids are scored but never trusted; empty tables give no rows or accept everything;
-    further columns are ignored.
+    Null and empty texts are scored by their end mark alone; very long texts are read whole, some of it at a time; a null
+    language is the language ''; repeated rows count and are repeated; null doc_ids are scored but never trusted; empty
+    tables give no rows or accept everything; further columns are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    model = train(own, _only(own, labels, held=False))
-    scored = materialise(model.add_scores(own).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.col("_ppl").alias("ppl"), _n_scored().alias("n")), "scores")
-    limits = broadcast_within(materialise(thresholds(_only(scored, labels, held=True)), "thresholds"), 100_000)
-    judged = scored.join(limits, "lang", "left").withColumn("threshold", threshold(F.col("n")))
-    return judged.select("doc_id", "lang", F.col("ppl").alias("perplexity"), "threshold", F.coalesce(F.col("ppl") <= F.col("threshold"), F.lit(True)).alias("accepted"))
-
-
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the documents that the classifier rejects.  No text moves."""
-    model = train(docs, _only(docs, labels, held=False))
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    held = model.add_scores(_only(docs, labels, held=True).select("doc_id", "lang", "text"))
-    limits = thresholds(held.select(lang.alias("lang"), F.col("_ppl").alias("ppl"), _n_scored().alias("n")))
-    limits = materialise(limits, "thresholds").select(F.col("lang").alias("_limit_lang"), F.struct("centre", "excess").alias("_limit"))
-    limits = broadcast_within(limits, 100_000)
-    scored = model.add_scores(docs)
-    return scored.join(limits, lang == F.col("_limit_lang"), "left").filter(F.coalesce(F.col("_ppl") <= threshold(_n_scored(), "_limit."), F.lit(True))).select(*docs.columns)
+    found = judged(own, labels, parts)
+    out = own.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), *_keys(own)).join(found, ["k1", "k2"], "left")
+    return out.select("doc_id", "lang", "perplexity", "threshold", F.coalesce("accepted", F.lit(True)).alias("accepted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, parts: int = PASSES) -> DataFrame:
+    """``docs``, all columns, without the rows whose text the classifier rejects; null, empty, repeated and very long texts as in ``classify``.
+
+    Rows of an empty label table all stay; an empty table gives no rows; further columns, of any name, are kept.  Texts
+    move only if more than ``MAX_LABELS`` different ones are rejected.
+    """
+    out = broadcast_within(judged(docs, labels, parts).filter("not accepted").select("k1", "k2"), MAX_LABELS)
+    k1, k2 = _keys(docs)
+    return docs.join(out, (k1 == out["k1"]) & (k2 == out["k2"]), "left_anti")

@@ -1,26 +1,33 @@
+import itertools
 import math
+import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.llm import kneser_ney as K
 
 
+UNSPACED = "".join(f"{chr(a)}-{chr(b)}" for a, b in K.UNSPACED)
+WORD = re.compile(rf" ?[^\W{UNSPACED}]{{1,{K.PIECE}}}|[^\s]|\n")
+
+
+def split(text):
+    return WORD.findall(text)
+
+
 def brute_model(texts):
-    """Interpolated modified Kneser-Ney on tuples of character codes, straight from the definition."""
-    n = K.ORDER
-
-    def unpack(g):
-        return tuple(g >> K.BITS * i & 4095 for i in range(n - 1, -1, -1))
-
-    counts = {n: Counter(unpack(int(g)) for t in texts for g in K.grams(t))}
-    for o in range(n - 1, 0, -1):
-        left = defaultdict(set)
-        for g in counts[o + 1]:
-            left[g[1:]].add(g[0])
-        counts[o] = Counter({g: len(s) for g, s in left.items()})
+    """Interpolated modified Kneser-Ney on pairs of words, straight from the definition."""
+    marked = lambda t: ["<s>", *split(t), "</s>"]
+    counts = {2: Counter(pair for t in texts for pair in itertools.pairwise(marked(t)))}
+    left = defaultdict(set)
+    for x, y in counts[2]:
+        left[(y,)].add(x)
+    counts[1] = Counter({g: len(s) for g, s in left.items()})
     d = {}
     for o, c in counts.items():
         m = Counter(c.values())
@@ -45,7 +52,7 @@ def brute_model(texts):
         return (own + sum(d[o][min(x, 3) - 1] for x in seen) * low) / sum(seen)
 
     def ppl(text):
-        gs = [unpack(int(g)) for g in K.grams(text)]
+        gs = list(itertools.pairwise(marked(text)))
         return math.exp(-sum(math.log(p(g)) for g in gs) / len(gs))
 
     return ppl, p, counts
@@ -76,36 +83,66 @@ def test_perplexities_against_brute_force(spark, docs, labels):
 
 
 def test_probabilities_sum_to_one():
-    _, p, counts = brute_model(["abracadabra", "abc abd abe"])
-    codes = [g[0] for g in counts[1]]
-    for context in [(97, 98), (100,), ()]:
-        assert sum(p((*context, c)) for c in codes) + p((*context, 0)) == pytest.approx(1)
+    _, p, counts = brute_model(["a b r a c a d a b r a", "a b c a b d a b e"])
+    words = [g[0] for g in counts[1]]
+    for context in [("a",), ("b",), ()]:
+        assert sum(p((*context, w)) for w in words) + p((*context, "unknown")) == pytest.approx(1)
+
+
+@pytest.mark.parametrize(("parts", "small"), [(1, False), (5, True)])
+def test_parts_buckets_and_chunks_give_the_same(spark, docs, labels, monkeypatch, parts, small):
+    key = lambda df: sorted((str(r.doc_id), r.lang, round(math.log(r.perplexity or 1), 4)) for r in df.collect())
+    whole = key(K.classify(docs, labels))
+    if small:  # settings reach the workers with the functions only
+        monkeypatch.setattr(K, "BUCKET", 500)
+        monkeypatch.setattr(K, "RARE", 40)
+    assert key(K.classify(docs, labels, parts=parts)) == whole
 
 
-def test_shards_give_the_same(spark, docs, labels, monkeypatch):
-    whole = {(r.doc_id, r.perplexity) for r in K.classify(docs, labels).collect()}
-    monkeypatch.setattr(K, "SHARD_ROWS", 700)
-    cut = {(r.doc_id, r.perplexity) for r in K.classify(docs, labels).collect()}
-    key = lambda s: sorted((str(d), round(x or 0, 4)) for d, x in s)
-    assert key(whole) == key(cut)
+def batch(rows):
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["k1", "k2", "lang", "text"])
 
 
-def test_long_texts_are_cut_without_a_seam(monkeypatch):
-    text = "the cat sat on the mat " * 20
+def test_chunks_cut_long_texts_without_a_seam(monkeypatch):
+    rows = [(1, 2, 3, "the cat sat on the mat " * 40), (4, 5, 3, ""), (6, 7, -3, "the cat"), (8, 9, 3, "the end " * 15)]
+    whole = list(K.chunks(iter([batch(rows)])))
+    assert len(whole) == 1
     monkeypatch.setattr(K, "GATHER", 37)
-    parts = np.concatenate([K._slice(text, at) for at in range(0, len(text), 37)])
-    assert (parts == K.grams(text)).all()
+    cut = list(K.chunks(iter([batch(rows[:2]), batch(rows[2:])])))
+    assert len(cut) > 4
+    for of in (lambda c: [(c.rows[d], int(x)) for d, x in zip(c.pair_doc, c.pairs, strict=True)], lambda c: [(c.rows[d], int(x)) for d, x in zip(c.doc[c.own], c.seq[c.own], strict=True)]):
+        assert Counter(x for c in cut for x in of(c)) == Counter(of(whole[0]))
 
 
-def test_hash_table():
+def test_packed_keys_come_back():
     rng = np.random.default_rng(0)
-    keys = np.unique(rng.integers(0, 1 << 60, 5000))
-    values = rng.normal(size=len(keys)).astype(np.float32)
-    t = K.Table({"x": (keys, values)})
-    some = rng.integers(0, len(keys), 300)
-    other = rng.integers(0, 1 << 60, 300)
-    assert t.total("x", np.concatenate((keys[some], other))) == pytest.approx(float(values[some].sum(dtype=np.float64)), abs=1e-4)
-    assert t.total("y", keys) == 0
+    for n in (0, 1, 1000):
+        keys, at = np.sort(rng.integers(0, 1 << 64, n, np.uint64)), rng.integers(0, 65_535, n)
+        chunk, k, a = K.unpack(K.pack(77, keys, at))
+        assert chunk == 77 and (k == keys).all() and (a == at).all()
+
+
+def test_words():
+    assert split("Don't  stop|now 12a\n日本語ab ไทย é_x 😀 lengthening") == ["Don", "'", "t", " stop", "|", "now", " 12a", "\n", "日", "本", "語", "ab", "ไ", "ท", "ย", " é_x", "😀", " length", "ening"]
+    assert split(" \t") == [] and split("") == []
+
+
+def test_hashes_are_those_of_the_words():
+    rng = random.Random(5)
+    texts = ["", " ", "a", "  ab", "ab " * 9] + ["".join(rng.choice("ab_1 \n\té日ไ.\u00a0😀\x1c") for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    by_word, by_hash = {}, {}
+    for t in texts:
+        _, h = K.words(np.frombuffer(t.encode("utf-32-le"), "<u4"))
+        assert len(h) == len(split(t))
+        for w, x in zip(split(t), h.tolist(), strict=True):
+            assert by_word.setdefault(w, x) == x and by_hash.setdefault(x, w) == w
+
+
+def test_what_is_gathered_grows_with_the_corpus(spark):
+    """Twice the text has far more than half as many bigrams again."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    n = [K.bigrams(K._texts(d), 0, 1).count() for d in (docs.filter("doc_id % 2 = 0"), docs)]
+    assert n[1] > 1.6 * n[0]
 
 
 def test_edge_cases(spark, docs, no_docs, labels):
