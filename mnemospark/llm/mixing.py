@@ -5,8 +5,10 @@ source the smallest keys come first, which is weighted sampling without replacem
 whole epochs first; what is left is filled along the keys by a prefix sum over sizes, and the document at the edge
 gives the words that are still missing, so that a source's total meets its target to a word.
 
-A source may hold any share of the rows, so the prefix sum has two levels: ``1 - exp(-key)`` is cut into ``CELLS``
-even cells, the cells' totals are summed along each source, and only rows of one cell are ordered together.
+A source may hold any share of the rows, so the prefix sum has two levels: the logarithm of the key is cut into cells
+of width 1 / ``CELLS``, the cells' totals are summed along each source, and only rows of one cell are ordered together.
+A weight only shifts that logarithm, so the fullest cell has a share of 1 / (e ``CELLS``) of a source, whatever its
+documents' weights.  Rows without an id draw by their text.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from mnemospark.storage import materialise
 
 #: Weights by rank of the source, repeating; share of all sizes that the targets sum to; most epochs of a source.
 WEIGHTS, SHARE, MAX_EPOCHS = (5, 2, 1), 1.5, 2
-#: Cells of a source's key range.
-CELLS = 4096
+#: Cells of a source in a unit of the key's logarithm.
+CELLS = 1024
 #: Characters that running prose has few of; fixed for the quality weight.
 SYMBOLS = "#%&*$|<>{}[]~^_=+@0123456789"
 
@@ -36,9 +38,9 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(F.when(n > 0, F.greatest(F.lit(0.05), 1.0 - 4.0 * symbols / n)), F.lit(1.0))
 
 
-def uniform(doc_id: Column) -> Column:
-    """A number in (0, 1) from the MD5 of the id (null: of an empty string), the same in every run."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double")
+def uniform(doc_id: Column, text: Column | None = None) -> Column:
+    """A number in (0, 1) from the MD5 of the id (null: of the text), the same in every run."""
+    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("") if text is None else text, F.lit(""))), 1, 12), 16, 10).cast("double")
     return (bits + 0.5) / float(1 << 48)
 
 
@@ -68,9 +70,9 @@ def mix(docs: DataFrame) -> DataFrame:
     columns are ignored.
     """
     text = F.col("text").cast("string")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(text).alias("size"), quality_weight(text).alias("w"))
-    base = base.withColumn("key", -F.log(uniform(F.col("doc_id"))) / F.col("w"))
-    rows = materialise(base.select("doc_id", "source", "size", "key", F.floor((1 - F.exp(-F.col("key"))) * CELLS).cast("int").alias("cell")), "sizes")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(text).alias("size"), quality_weight(text).alias("w"), uniform(F.col("doc_id"), text).alias("u"))
+    base = base.withColumn("key", -F.log("u") / F.col("w"))
+    rows = materialise(base.select("doc_id", "source", "size", "key", F.floor(F.log("key") * CELLS).cast("int").alias("cell")), "sizes")
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("in_cell"))
     by_source = targets(cells.groupBy("source").agg(F.sum("in_cell").alias("source_size")))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,7 +91,7 @@ MIX_SQL = f"""
 with base as (
   select doc_id, source, {_SIZE} as size,
     case when length(text) > 0 then greatest(0.05::DOUBLE, 1.0::DOUBLE - 4.0::DOUBLE * (length(text) - length(regexp_replace(text, '[#%&*$|<>{{}}\\[\\]~^_=+@0-9]', '', 'g'))) / length(text)) else 1.0::DOUBLE end as w,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE as u
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE as u
   from documents),
 s as (select source, sum(size)::BIGINT as source_size, row_number() over (order by source nulls last) - 1 as rank from base group by source),
 t as (select *, case rank % 3 when 0 then 5.0::DOUBLE when 1 then 2.0::DOUBLE else 1.0::DOUBLE end as weight, 2.0::DOUBLE * source_size as cap from s),

@@ -59,3 +59,10 @@ def test_heavier_documents_come_first(spark):
 def test_table_against_sql(spark, sf_dir):
     name = "op4_source_mixing"
     assert rows(QUERIES[name](spark, sf_dir).toPandas()) == rows(connect(sf_dir).execute(SQL[name]).df())
+
+
+@pytest.mark.parametrize("weight", [1.0, 0.3, 0.05])
+def test_no_cell_holds_much_of_a_source(spark, weight):
+    key = -F.log(M.uniform(F.col("id"))) / weight
+    cells = spark.range(20_000).select(F.floor(F.log(key) * M.CELLS).alias("cell")).groupBy("cell").count()
+    assert cells.agg(F.max("count")).first()[0] < 40
