@@ -3,7 +3,7 @@
 Texts and items are compared as lower-case runs of letters and digits with one space between.  An item of m characters
 may be met with k = floor(RATE * m) edits.  It is cut into k + 1 pieces: wherever the item stands with at most k edits,
 one piece stands unchanged.  An Aho-Corasick automaton finds all pieces of a block of items in one pass over a text;
-Myers' bit-parallel distance verifies each place.
+Myers' bit-parallel distance verifies each place.  An item too short for an edit is cut into one piece, itself, and is met where it stands as whole words.
 
 Items come in blocks of a bounded size, one map over the documents for each block; documents are never shuffled.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.common import small_batches, to_batch
 
-#: Edits a character that an item may be met with; items with fewer normalised characters are no evidence.
-RATE, MIN_CHARS = 0.1, 40
+#: Edits a character that an item may be met with, and fewest normalised characters of an item that counts.
+RATE, MIN_CHARS = 0.1, 1
 #: Characters of items that one automaton holds.
 BLOCK_CHARS = 2_000_000
 
@@ -98,7 +98,7 @@ class Matcher:
     """A block of items ``(item_id, text)``, ready to be looked for."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], rate: float = RATE, min_chars: int = MIN_CHARS):
-        self.items = [(i, t) for i, t in ((i, normalise(t)) for i, t in items) if len(t) >= min_chars]
+        self.items = [(i, t) for i, t in ((i, normalise(t)) for i, t in items) if len(t) >= max(1, min_chars)]
         self.k = [int(rate * len(t)) for _, t in self.items]
         self.pieces = [pieces(t, k) for (_, t), k in zip(self.items, self.k, strict=True)]
         self.above = {n: branches(n) for n in {len(p) for p in self.pieces}}
@@ -152,6 +152,11 @@ class Matcher:
             window = text[low : starts[j] + m + k]
             i = j + 1
             at = window.find(item)
+            if k == 0:
+                for at in starts:  # with no edits to spare, "art" is not met in "party"
+                    if (at == 0 or text[at - 1] == " ") and text[at + m : at + m + 1] in (" ", ""):
+                        return 0, at, at + m
+                return None
             if at >= 0:
                 return 0, low + at, low + at + m
             edits, end = myers(m, self.bits[x], window, k if best is None else best[0] - 1)
@@ -191,8 +196,8 @@ _TYPES = {"doc_id": pa.int64(), "item_id": pa.int64(), "edits": pa.int64(), "sta
 def find(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(doc_id, item_id, edits, start, stop)``: a row for each document and item that it holds within the item's edits.
 
-    The place is the one with the fewest edits, in the normalised text.  Null and empty texts hold nothing; null and
-    short items are no evidence; repeated documents and items give repeated rows; null ids are carried through; empty
+    The place is the one with the fewest edits, in the normalised text.  Null and empty texts hold nothing; very long ones are
+    searched whole; null items and those without a letter or digit are no evidence; repeated documents and items give repeated rows; null ids are carried through; empty
     tables give no rows; further columns are ignored.
     """
     small_batches(docs.sparkSession)
@@ -217,7 +222,12 @@ def find(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int =
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs``, all columns, without the documents that hold an item.  No row moves."""
+    """``docs``, all columns, without the documents that hold an item.  No row moves.
+
+    Null and empty texts hold nothing and stay; very long ones are searched whole; repeated rows stay or go together; null
+    items and those without a letter or digit are no evidence; an empty benchmark leaves all rows, an empty table gives
+    none; further columns, of any name, are kept.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 

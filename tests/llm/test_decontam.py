@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from mnemospark.llm import decontam as D
@@ -84,3 +85,15 @@ def test_table(spark, sf_dir):
     got = {(r.doc_id, r.item_id): r.edits for r in D.find(docs, items).collect()}
     exact = {(d, r.item_id) for r in items.collect() for d, t in texts_.items() if D.normalise(r.text) in t}
     assert exact and {k for k, e in got.items() if e == 0} == exact
+
+
+@pytest.mark.parametrize(("item", "text", "hit"), [("What is the capital of France? Paris", "Q: what is the capital of France? Paris!", True), ("art", "a party", False), ("art", "Art, of course", True), ("art", "modern art", True), ("E=mc2", "so e mc2 it is", True), ("four words in all", "those four wordz in all", True), ("??", "??", False), ("日本", "x 日本 y", True)])
+def test_short_items(item, text, hit):
+    found = D.Matcher([(1, item)]).search(text)
+    assert bool(found) == hit
+    t, m = D.normalise(text), D.normalise(item)
+    k = int(D.RATE * len(m))
+    if m and k:
+        assert hit == (distance(m, t) <= k)
+    elif m:
+        assert hit == (f" {m} " in f" {t} ")
