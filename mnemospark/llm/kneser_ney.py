@@ -58,7 +58,7 @@ SHORT, FEW = 30, 1000
 #: Most letters of a word; longer ones are cut.
 PIECE = 6
 #: Parts of the key range, words and bigrams of the corpus that one bucket gets about, and characters a word takes about.
-PASSES, BUCKET, WORD_CHARS = 6, 2_000_000, 5
+PASSES, BUCKET, WORD_CHARS = 4, 2_000_000, 5
 #: Characters that a worker gathers before it sums or packs their words, and most documents among them.
 GATHER, MOST_DOCS = 4_000_000, 65_535
 #: Keys with a share over one in so many are scored where the text is.
@@ -71,6 +71,9 @@ UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30F
 _GAP = re.compile(r"\s")
 #: Beyond all characters: a text's begin and end.
 _BEGIN, _END = 0x110000, 0x110001
+#: Odd numbers without a pattern, one for each place in a word, and what a space before a word adds.
+_FACTORS = np.array([xxhash.xxh64_intdigest(bytes([i])) | 1 for i in range(PIECE)], np.uint64)
+_SPACE_BEFORE = np.uint64(xxhash.xxh64_intdigest(b" ") | 1)
 _MARK = {x: np.array([x], "<u4").tobytes() for x in (_BEGIN, _END)}
 
 
@@ -107,20 +110,20 @@ def cell(keys: np.ndarray, cells: int) -> np.ndarray:
 
 
 def words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a text begin, in code points, and the words' hashes."""
-    kind = np.concatenate((kinds()[codes], np.zeros(PIECE, np.uint8)))
-    codes = np.concatenate((codes, np.zeros(PIECE, codes.dtype)))
+    """Where the words of a text begin, in code points, and the words' hashes: code points times a factor by place, summed."""
+    kind = kinds()[codes]
     letter = kind == 1
     first = letter.copy()
     first[1:] &= ~letter[:-1]
     place = np.arange(len(kind), dtype=np.int32)
-    in_run = place - np.maximum.accumulate(np.where(first, place, 0))
-    at = np.flatnonzero((kind == 2) | (letter & (in_run % PIECE == 0)))
-    h, on = codes[at].astype(np.uint64), letter[at]
-    h[on & first[at] & (at > 0) & (codes[at - 1] == 32)] += np.uint64(1 << 32)
-    for j in range(1, PIECE):
-        on &= letter[at + j]
-        h[on] = h[on] * np.uint64(0x9E3779B97F4A7C15) + codes[at[on] + j]
+    in_word = place - np.maximum.accumulate(np.where(first, place, 0))
+    np.remainder(in_word, PIECE, out=in_word)
+    in_word[~letter] = 0
+    at = np.flatnonzero((kind == 2) | (letter & (in_word == 0)))
+    value = codes * _FACTORS[in_word]
+    value[kind == 0] = 0
+    h = np.add.reduceat(value, at) if len(at) else np.empty(0, np.uint64)
+    h[first[at] & (at > 0) & (codes[at - 1] == 32)] += _SPACE_BEFORE
     return at, h
 
 
@@ -294,8 +297,10 @@ def frequent(texts: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
-            keys, n = np.unique(np.concatenate((c.seq[c.own], c.pairs)), return_counts=True)
-            total = int(n.sum())
+            keys = np.concatenate((c.seq[c.own], c.pairs))
+            total = len(keys)
+            coarse = (keys >> np.uint64(48)).astype(np.int32)  # only where many keys begin alike can one of them be frequent
+            keys, n = np.unique(keys[(np.bincount(coarse, minlength=1 << 16) * RARE >= total)[coarse]], return_counts=True)
             often = n * RARE >= total
             yield _rows("key long, n long, of long", keys[often], n[often].astype(np.int64), np.zeros(int(often.sum()), np.int64))
             yield _rows("key long, n long, of long", [None], [0], [total])
