@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm.common import small_batches
@@ -159,17 +159,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one document of each component: the smallest by doc_id, then by the hash of its text.
 
-    Rows with a null doc_id stay.  Of rows that share doc_id and text one is kept.
+    Rows with a null doc_id stay.  Of rows that share doc_id and text one is kept.  Null and empty texts have fingerprint
+    zero and are near-duplicates of one another; very long texts are read whole; an empty table gives no rows; further
+    columns, of any name, are kept.
     """
     found = materialise(_classes(docs).filter("doc_id is not null").select("doc_id", "text_hash", "component"), "classes")
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     rows = found.groupBy("doc_id", "text_hash", "component").agg(F.count("*").alias("copies"))
-    judged = rows.join(first, "component").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("first") != F.struct("doc_id", "text_hash")).alias("drop"), (F.col("copies") > 1).alias("twice"))
+    judged = rows.join(first, "component").select("doc_id", "text_hash", (F.col("first") != F.struct("doc_id", "text_hash")).alias("drop"), (F.col("copies") > 1).alias("twice"))
     judged = materialise(judged.filter("drop or twice"), "judged")
-    same = (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
-    kept = docs.join(broadcast_within(judged.filter("drop").select("_id", "_hash"), MAX_DROPPED), same, "left_anti")
-    twice = judged.filter("twice and not drop").select("_id", "_hash")
+
+    def same(of: DataFrame, listed: DataFrame) -> Column:
+        return (of["doc_id"].cast("long") == listed["doc_id"]) & (F.xxhash64(of["text"].cast("string")) == listed["text_hash"])
+
+    # Both lists are right sides of semi joins, whose columns never meet those of the documents, whatever their names.
+    dropped = broadcast_within(judged.filter("drop").select("doc_id", "text_hash"), MAX_DROPPED)
+    kept = docs.join(dropped, same(docs, dropped), "left_anti")
+    twice = judged.filter("twice and not drop").select("doc_id", "text_hash")
     if twice.limit(1).count():
         twice = broadcast_within(twice, MAX_DROPPED)
-        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return kept.select(*docs.columns)
+        kept = kept.join(twice, same(docs, twice), "left_anti").unionByName(kept.join(twice, same(docs, twice), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept

@@ -13,7 +13,7 @@ def docs(spark):
         (7, "día ÄÖÜ 日本語 \U0001f600 naïve", "es", "s3", 9), (8, "\n".join([PROSE, PROSE, "short", "", PROSE + " today"]), "en", "s3", 5),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for name in ("component_id", "fp", "size", "key", "blob", "words", "first", "lang_k", "start", "h1", "n"):
+    for name in ("component_id", "fp", "size", "key", "blob", "words", "first", "lang_k", "start", "h1", "n", "_id", "_hash", "_n", "_nll", "_ppl", "_lang", "_gone", "_limit", "row", "id", "hash", "lines", "left", "k1", "k2", "text_hash", "accepted"):
         df = df.withColumn(name, df.n_chars)
     return df
 
