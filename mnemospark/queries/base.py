@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions.vectors import doubles
+from mnemospark.storage import spread
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,7 +19,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").selectExpr(
+    return spread(read(spark, sf_dir, "documents")).selectExpr(
         "cast(doc_id as string) as id",
         "text as content",
         "case when doc_id % 5 = 0 then 'fleet' else concat('fleet:', lang) end as namespace",

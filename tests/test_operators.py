@@ -142,6 +142,13 @@ def test_render_list(spark):
     assert [r.x for r in df.select(evaluation.render_list(F.col("t")).alias("x")).collect()] == ["1. a b\n2. ", "(no results)"]
 
 
+def test_top_k_is_limited_before_the_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
+    found = retrieval.best(df, ["g"], [F.col("v").desc()], 2)
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.g, r.rank, r.v) for r in found.collect()) == [(0, 0, 999), (0, 1, 996), (1, 0, 997), (1, 1, 994), (2, 0, 998), (2, 1, 995)]
+
+
 def test_chunks(spark):
     text = "a" * 8 + "\n" + "b" * 20
     rows = [("  short ", ["  short "]), (" \n", []), (None, []), ("", []), (text, ["a" * 8, "b" * 9, "b" * 10, "b"]), ("\n" * 30, []), ("\U0001f600" * 12, ["\U0001f600" * 10, "\U0001f600" * 2]), ("ab\ncd\nef\ngh", ["ab\ncd\nef", "gh"]), ("x" * 10 + "\n" + "y" * 4, ["x" * 10, "yyyy"])]
