@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from mnemospark.storage import spread
+
 #: Rows and bytes that one Arrow batch to a Python worker may hold.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -16,7 +18,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def to_batch(columns: dict[str, list], types: dict[str, pa.DataType]) -> pa.RecordBatch:
