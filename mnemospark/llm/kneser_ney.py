@@ -61,6 +61,8 @@ PIECE = 6
 PASSES, BUCKET, WORD_CHARS = 4, 2_000_000, 5
 #: Characters that a worker gathers before it sums or packs their words, and most documents among them.
 GATHER, MOST_DOCS = 4_000_000, 65_535
+#: Tasks of a pass that add up, at least, words and bigrams that one of them may get, and sums that it holds at once.
+TASKS, TASK_KEYS, HELD_SUMS = 12, 50_000_000, 4_000_000
 #: Keys with a share over one in so many are scored where the text is.
 RARE = 4_000
 #: Rows of the label table, and languages, that may be broadcast.
@@ -274,22 +276,22 @@ class Model:
 # --- scoring
 
 _SENT, _ADDED = "bucket int, kind int, key long, weight float, packed binary", "chunk long, at int, k1 long, k2 long, lang long, s double, n long"
-_HEAD = "<qqq"
+_HEAD = "<qqqq"
 _HEAD_BYTES = struct.calcsize(_HEAD)
 
 
-def pack(chunk: int, keys: np.ndarray, at: np.ndarray) -> bytes:
-    """Sorted keys and the places of their documents; bytes of one rank stand together, which packs sorted keys well."""
+def pack(chunk: int, docs: int, keys: np.ndarray, at: np.ndarray) -> bytes:
+    """Number and documents of a chunk, sorted keys and the places of their documents; bytes of one rank stand together, which packs sorted keys well."""
     at = at.astype("<u2")
     body = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() + np.ascontiguousarray(at.view(np.uint8).reshape(-1, 2).T).tobytes()
-    return struct.pack(_HEAD, chunk, len(keys), len(body)) + zstandard.ZstdCompressor(level=1).compress(body)
+    return struct.pack(_HEAD, chunk, docs, len(keys), len(body)) + zstandard.ZstdCompressor(level=1).compress(body)
 
 
-def unpack(packed: bytes) -> tuple[int, np.ndarray, np.ndarray]:
-    chunk, n, size = struct.unpack_from(_HEAD, packed)
+def unpack(packed: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
+    chunk, docs, n, size = struct.unpack_from(_HEAD, packed)
     body = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[_HEAD_BYTES:], max_output_size=size), np.uint8)
     keys = np.ascontiguousarray(body[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1)
-    return chunk, keys, np.ascontiguousarray(body[8 * n :].reshape(2, n).T).view("<u2").reshape(-1)
+    return chunk, docs, keys, np.ascontiguousarray(body[8 * n :].reshape(2, n).T).view("<u2").reshape(-1)
 
 
 def frequent(texts: DataFrame) -> np.ndarray:
@@ -335,9 +337,9 @@ def _sender(part: int, parts: int, buckets: int, often: np.ndarray, weights: np.
             n = np.bincount(c.pair_doc, minlength=len(c.rows)).astype(np.int64) if not part else np.zeros(len(c.rows), np.int64)
             own = cell(keys, buckets)
             cuts = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(keys)])) if len(keys) else [0]
-            packed = [pack(chunk, keys[i:j], doc[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            packed = [pack(chunk, len(c.rows), keys[i:j], doc[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             bucket = [int(own[i]) for i in cuts[:-1]] + [buckets * part // parts]
-            docs = struct.pack(_HEAD, chunk, len(c.rows), 0) + names.tobytes() + direct.tobytes() + n.tobytes()
+            docs = struct.pack(_HEAD, chunk, len(c.rows), 0, 0) + names.tobytes() + direct.tobytes() + n.tobytes()
             for i, row in enumerate([*packed, docs]):
                 yield _rows(_SENT, [bucket[i]], [1 if i < len(packed) else 2], [None], [None], [row])
 
@@ -345,8 +347,21 @@ def _sender(part: int, parts: int, buckets: int, often: np.ndarray, weights: np.
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, kind): the weights of a bucket, then the packed keys that look for theirs."""
+    """Rows sorted by (bucket, kind): the weights of a bucket, then the packed keys that look for theirs.
+
+    Sums go on over all buckets of a task, so that a document gives a row for a task, not for a bucket.
+    """
     now, keys, values, ready = None, [], [], False
+    held: dict[int, np.ndarray] = {}
+    size = 0
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        for number, s in held.items():
+            some = np.flatnonzero(s)
+            none = [None] * len(some)
+            yield _rows(_ADDED, [number] * len(some), some.astype(np.int32), none, none, none, s[some], np.zeros(len(some), np.int64))
+        held.clear()
+
     for b in batches:
         bucket, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         cuts = np.concatenate(([0], np.flatnonzero((bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(bucket)])) if len(bucket) else [0]
@@ -365,20 +380,23 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for packed in b.column(4).slice(i, j - i):
                 packed = packed.as_py()
                 if kind[i] == 2:
-                    chunk, n, _ = struct.unpack_from(_HEAD, packed)
+                    chunk, n, _, _ = struct.unpack_from(_HEAD, packed)
                     body = memoryview(packed)[_HEAD_BYTES:]
                     names = np.frombuffer(body[: 24 * n], np.int64).reshape(n, 3)
                     yield _rows(_ADDED, [chunk] * n, np.arange(n, dtype=np.int32), *(names[:, x] for x in range(3)), np.frombuffer(body[24 * n : 32 * n], np.float64), np.frombuffer(body[32 * n :], np.int64))
                     continue
-                chunk, asked, at = unpack(packed)
+                chunk, docs, asked, at = unpack(packed)
                 if not len(known):
                     continue
                 k = np.minimum(np.searchsorted(known, asked), len(known) - 1)
                 hit = known[k] == asked
-                s = np.bincount(at[hit], worth[k[hit]])
-                some = np.flatnonzero(np.bincount(at[hit]))
-                none = [None] * len(some)
-                yield _rows(_ADDED, [chunk] * len(some), some.astype(np.int32), none, none, none, s[some], np.zeros(len(some), np.int64))
+                if chunk not in held:
+                    if size > HELD_SUMS:
+                        yield from summed()
+                        size = 0
+                    held[chunk], size = np.zeros(docs), size + docs
+                held[chunk] += np.bincount(at[hit], worth[k[hit]], docs)
+    yield from summed()
 
 
 def scores(texts: DataFrame, model: Model) -> DataFrame:
@@ -395,7 +413,7 @@ def scores(texts: DataFrame, model: Model) -> DataFrame:
         worth = np.array([found.get(k, 0.0) for k in often.view(np.int64).tolist()])
         bucket = F.shiftright(F.shiftrightunsigned("key", 32) * buckets, 32).cast("int")
         sent = weights.select(bucket.alias("bucket"), F.lit(0).alias("kind"), "key", "weight", F.lit(None).cast("binary").alias("packed")).unionByName(known.mapInArrow(_sender(part, parts, buckets, often, worth), _SENT))
-        met = sent.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_added, _ADDED)
+        met = sent.repartition(max(TASKS, -(-round(2 * chars / WORD_CHARS) // (parts * TASK_KEYS))), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_added, _ADDED)
         one = met.groupBy("chunk", "at").agg(*[F.max(c).alias(c) for c in ("k1", "k2", "lang")], F.sum("s").alias("s"), F.sum("n").alias("n"))
         one = materialise(one, "sums")
         discard(weights)

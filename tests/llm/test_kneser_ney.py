@@ -118,8 +118,8 @@ def test_packed_keys_come_back():
     rng = np.random.default_rng(0)
     for n in (0, 1, 1000):
         keys, at = np.sort(rng.integers(0, 1 << 64, n, np.uint64)), rng.integers(0, 65_535, n)
-        chunk, k, a = K.unpack(K.pack(77, keys, at))
-        assert chunk == 77 and (k == keys).all() and (a == at).all()
+        chunk, docs, k, a = K.unpack(K.pack(77, 5, keys, at))
+        assert chunk == 77 and docs == 5 and (k == keys).all() and (a == at).all()
 
 
 def test_words():
