@@ -23,7 +23,16 @@ from mnemospark.llm.common import small_batches, to_batch
 #: Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Templates, by label.  The wording is that of the licenses.
+#: What the BSD licenses share, and templates by label.  The wording is that of the licenses, from the first
+#: words of the grant to the end; titles and copyright lines stand before it.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "<<var;max=1>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "<<var;max=1>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. %s "
+    'THIS SOFTWARE IS PROVIDED BY <<var;max=8>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL <<var;max=8>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; "
+    "OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES = {
     "cc-by-4.0": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons attribution<<endOptional>> <<beginOptional>>the<<endOptional>> CC BY 4.0",
     "cc-by-sa-4.0": "licensed under <<beginOptional>>the<<endOptional>> CC BY-SA 4.0",
@@ -36,9 +45,23 @@ TEMPLATES = {
     "agpl-3.0": "licensed under the <<beginOptional>>terms of the<<endOptional>> GNU Affero General Public License version 3",
     "apache-2.0": "licensed under the Apache License <<beginOptional>>,<<endOptional>> version 2.0 <<beginOptional>>the License you may not use this file except in compliance with the License<<endOptional>>",
     "mpl-2.0": "subject to the terms of the Mozilla Public License <<beginOptional>>v<<endOptional>> <<beginOptional>>version<<endOptional>> 2.0",
-    "mit": "<<beginOptional>>MIT License<<endOptional>> Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<var;max=4>> to deal in the Software without restriction",
-    "isc": "Permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted",
-    "bsd": "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "cc-by-4.0-notice": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> Creative Commons Attribution 4.0 International <<beginOptional>>Public<<endOptional>> License",
+    "gpl-3.0-or-later": "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl-2.0-or-later": "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "mit": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files <<beginOptional>>(the "Software")<<endOptional>>, to deal in the Software without restriction, '
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+        "IN NO EVENT SHALL <<var;max=12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND <<var;max=8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;max=8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, '
+        "OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "bsd-2-clause": _BSD % "",
+    "bsd-3-clause": _BSD % "<<var;max=1>> Neither the name of <<var;max=12>> nor the names of <<var;max=4>> contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "mit-notice": "<<beginOptional>>released<<endOptional>> <<beginOptional>>licensed<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> MIT License",
     "copyright-notice": "Copyright <<beginOptional>>c<<endOptional>> <<var;max=8>> All rights reserved",
 }
@@ -175,8 +198,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     """Base phrases and accepted templates of every row, with the template matches in words.
 
     The score is the share of the best match that is mandatory wording, 0.5 where only a base phrase stands, else 0.
-    Null texts are empty texts; repeated rows are repeated; a null doc_id is carried through; an empty table gives no
-    rows; further columns are ignored.  Rows don't depend on one another, so nothing is shuffled.
+    Null texts are empty texts; very long ones are read whole; repeated rows are repeated; a null doc_id is carried
+    through; an empty table gives no rows; further columns are ignored.  Rows don't depend on one another, so nothing is shuffled.
     """
     wording = dict(TEMPLATES if templates is None else templates)
     small_batches(docs.sparkSession)

@@ -47,6 +47,24 @@ def test_templates(text, label, accepted):
     assert (label in L.scan_text(text, L.Scanner(L.TEMPLATES))["labels"].split(",")) is accepted
 
 
+def plain(label, holder):
+    """A template as a text: optional regions left in, replaceable ones filled."""
+    return re.sub(r"<<var;max=1>>", "*", re.sub(r"<<(begin|end)Optional>>", " ", re.sub(r"<<var;max=(?!1>>)\d+>>", holder, L.TEMPLATES[label])))
+
+
+@pytest.mark.parametrize("label", ["mit", "isc", "bsd-2-clause", "bsd-3-clause", "gpl-3.0-or-later", "gpl-2.0-or-later", "cc-by-4.0-notice"])
+def test_whole_wording(label):
+    scanner = L.Scanner(L.TEMPLATES)
+    labels = lambda text: set(L.scan_text(text, scanner)["labels"].split(","))
+    text = plain(label, "the authors")
+    assert label in labels("MIT License\n\nCopyright (c) 2020 A. Person\n\n" + text + "\nmore") and label in labels(text.upper())
+    words = text.split()
+    for i in range(0, len(words), 7):
+        if L.words_of(words[i]) and words[i] not in ("the", "authors"):
+            assert label not in labels(" ".join([*words[:i], "xyzzy plugh", *words[i + 1 :]])), words[i]
+    assert label not in labels(" ".join(words[: len(words) // 2]) + " provided nothing else of it applies")
+
+
 def brute_accepts(parts, words):
     """Parts: ('w', word), ('o', parts), ('v', n); the set of lengths that a prefix of words may be read in."""
     ends = {0}
