@@ -191,7 +191,8 @@ walk(id, node) as (select id, id from nodes union select w.id, e.v from walk w j
 
 
 def _lineage(spark: SparkSession, sf_dir: str, since: str | None) -> DataFrame:
-    m = memories(spark, sf_dir)
+    # A topic of each thousand records is a subject, so that groups stay under the cap however large the table is.
+    m = memories(spark, sf_dir).withColumn("raw_subject", F.concat("raw_subject", F.lit(" "), F.floor(F.col("id").cast("long") / 1000).cast("string")))
     # Thread judge: every third fact of a subject continues the same claim.
     judge = lambda g: g.select("subject", "id", (F.col("ordinal") % 3).cast("string").alias("thread"))
     return R.supersede(m.select("id", F.col("id").cast("long").alias("ordinal"), F.col("raw_subject").alias("subject"), "created_at"), 2, R.MAX_GROUP, since, judge)
@@ -207,8 +208,8 @@ def incremental_dirty_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lineage_sql(since: str | None) -> str:
-    dirty = f"semi join (select distinct {slug_sql('raw_subject')} as subject from memories where created_at > '{since}') using (subject)" if since else ""
-    return f"""with {MEMORIES}, s as (select * from (select id, id::BIGINT as ordinal, {slug_sql("raw_subject")} as subject, created_at from memories where raw_subject <> '') {dirty}),
+    dirty = f"semi join (select distinct {slug_sql('raw_subject')} as subject from parted where created_at > '{since}') using (subject)" if since else ""
+    return f"""with {MEMORIES}, parted as (select * replace (raw_subject || ' ' || (id::BIGINT // 1000) as raw_subject) from memories), s as (select * from (select id, id::BIGINT as ordinal, {slug_sql("raw_subject")} as subject, created_at from parted where raw_subject <> '') {dirty}),
 j as (select *, count(*) over (partition by subject) as n from s), t as (select *, case when n between 2 and {R.MAX_GROUP} then cast(ordinal % 3 as varchar) else 'id:' || id end as thread from j),
 h as (select *, last_value(id) over w as head, row_number() over (partition by subject, thread order by coalesce(created_at, ''), ordinal) as place from t window w as (partition by subject, thread order by coalesce(created_at, ''), ordinal rows between unbounded preceding and unbounded following)),
 o as (select head as id, string_agg(id, ',' order by place) as older from h where id <> head group by head)
