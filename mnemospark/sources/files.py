@@ -57,15 +57,20 @@ class _CommitReader(DataSourceReader):
         return [_Repo(p) for p in self.paths]
 
     def read(self, partition: _Repo) -> Iterator[tuple]:
-        def git(*args: str) -> str:
-            done = subprocess.run(["git", *args], cwd=partition.path, capture_output=True, text=True, errors="replace", timeout=60, check=False)
-            return done.stdout if done.returncode == 0 else ""
+        def git(*args: str) -> str | None:
+            try:
+                done = subprocess.run(["git", *args], cwd=partition.path, capture_output=True, text=True, errors="replace", timeout=60, check=False)
+            except (OSError, subprocess.TimeoutExpired):
+                return None
+            return done.stdout if done.returncode == 0 else None
 
-        yield partition.path, git("rev-parse", "HEAD").strip(), git("log", "--no-merges", "--format=COMMIT: %s%n%b", "--all")
+        head = git("rev-parse", "HEAD")
+        log = git("log", "--no-merges", "--format=COMMIT: %s%n%b", "--all") if head else None
+        yield partition.path, None if log is None else head.strip(), log
 
 
 class CommitLogSource(DataSource):
-    """``spark.read.format("commit_log").option("paths", "a,b")``: ``(path, head, content)`` of each repository, a partition each."""
+    """``spark.read.format("commit_log").option("paths", "a,b")``: ``(path, head, content)`` of each repository, a partition each; head and content are null where git fails."""
 
     @classmethod
     def name(cls) -> str:
@@ -79,7 +84,7 @@ class CommitLogSource(DataSource):
 
 
 def commit_logs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(path, head, text)``, cleaned."""
+    """``(path, head, text)``, cleaned; repositories that can't be read have neither head nor text and so are never checked off."""
     spark.dataSource.register(CommitLogSource)
     raw = spark.read.format("commit_log").option("paths", ",".join(paths)).load()
     return raw.select("path", "head", clean_commit_log(F.col("content")).alias("text"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import os
+import time
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -22,6 +24,8 @@ from mnemospark.sources.files import is_noise
 #: Commits looked at, and characters kept of issue bodies, comments and commit messages; shortest message.
 MAX_COMMITS, BODY_CUT, COMMENT_CUT, MESSAGE_CUT, SHORT_MESSAGE = 200, 1500, 800, 600, 10
 
+#: Calls made for a page.
+TRIES = 3
 #: What differs between the forges.  Paths are filled with owner and repository.
 FORGES = {
     "github": {"page": 100, "size": "per_page", "repo": "/repos/{o}/{r}", "issues": [("/repos/{o}/{r}/issues", {"state": "all"}, None)], "notes": "/repos/{o}/{r}/issues/{n}/comments", "commits": "/repos/{o}/{r}/commits", "number": "number", "count": "comments"},
@@ -50,15 +54,23 @@ class _Reader(DataSourceReader):
         return [_Repo(o, r) for o, r in self.repos]
 
     def get(self, path: str, query: dict, page: int):
-        """The parsed answer, or None if there is none."""
+        """The parsed answer, or None if there is no such page; an error that lasts is raised."""
         if "://" in self.base:
             url = f"{self.base}{path}?{urllib.parse.urlencode(query | {self.forge['size']: self.forge['page'], 'page': page})}"
             headers = {"Authorization": f"Bearer {self.token}", "PRIVATE-TOKEN": self.token} if self.token else {}
-            try:
-                with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=30) as answer:
-                    return json.load(answer)
-            except OSError:
-                return None
+            for turn in range(TRIES):
+                try:
+                    with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=30) as answer:
+                        return json.load(answer)
+                except urllib.error.HTTPError as e:
+                    if e.code == 404:
+                        return None
+                    failure: OSError = e
+                except OSError as e:
+                    failure = e
+                time.sleep(2**turn)
+            # Half a listing must not pass for a whole one, whose fingerprint would then be checked off.
+            raise RuntimeError(f"{path}, page {page}: {failure}")
         state = query.get("state", "all")
         file = f"{self.base}{path}/{'' if state == 'all' else state + '-'}page-{page}.json"
         return json.load(open(file, encoding="utf-8")) if os.path.exists(file) else None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame
@@ -14,16 +15,19 @@ def append_points(points: DataFrame, path: str) -> None:
 
 
 def rebuild(table: DataFrame, path: str) -> int:
-    """Replace a table as a whole: a new version is written beside the old and a pointer row names it.  Returns its rows."""
+    """Replace a table as a whole: a new version is written beside the old, then a pointer row names it.  Returns its rows.
+
+    Pointer rows are only ever added, so a reader finds the old version or the new one, never none.
+    """
     version = uuid.uuid4().hex
     table.write.parquet(f"{path}/version={version}")
     spark = table.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}-current")
+    spark.createDataFrame([(time.time_ns(), version)], "written long, version string").coalesce(1).write.mode("append").parquet(f"{path}-current")
     return spark.read.parquet(f"{path}/version={version}").count()
 
 
 def current(spark, path: str) -> DataFrame:
-    version = spark.read.parquet(f"{path}-current").first().version
+    version = spark.read.parquet(f"{path}-current").agg(F.max_by("version", "written").alias("version")).first().version
     return spark.read.parquet(f"{path}/version={version}")
 
 
