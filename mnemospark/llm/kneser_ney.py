@@ -111,21 +111,30 @@ def cell(keys: np.ndarray, cells: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
 
 
-def words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a text begin, in code points, and the words' hashes: code points times a factor by place, summed."""
-    kind = kinds()[codes]
+def pieces(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin, how long they are, and whether they begin a run of letters; runs are cut after ``PIECE`` letters."""
     letter = kind == 1
-    first = letter.copy()
+    first, last = letter.copy(), letter.copy()
     first[1:] &= ~letter[:-1]
-    place = np.arange(len(kind), dtype=np.int32)
-    in_word = place - np.maximum.accumulate(np.where(first, place, 0))
-    np.remainder(in_word, PIECE, out=in_word)
-    in_word[~letter] = 0
-    at = np.flatnonzero((kind == 2) | (letter & (in_word == 0)))
-    value = codes * _FACTORS[in_word]
-    value[kind == 0] = 0
-    h = np.add.reduceat(value, at) if len(at) else np.empty(0, np.uint64)
-    h[first[at] & (at > 0) & (codes[at - 1] == 32)] += _SPACE_BEFORE
+    last[:-1] &= ~letter[1:]
+    at = np.flatnonzero(first | (kind == 2))
+    head = letter[at]
+    long = np.ones(len(at), np.int64)
+    long[head] = np.flatnonzero(last) - at[head] + 1
+    n = (long + PIECE - 1) // PIECE
+    run = np.repeat(np.arange(len(at)), n)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    return at[run] + PIECE * place, np.minimum(long[run] - PIECE * place, PIECE), head[run] & (place == 0)
+
+
+def words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin, in code points, and the words' hashes: code points times a factor by place, summed."""
+    at, long, head = pieces(kinds().take(codes, mode="clip"))
+    h = codes[at] * _FACTORS[0]
+    for i in range(1, PIECE):
+        some = np.flatnonzero(long > i)
+        h[some] += codes[at[some] + i] * _FACTORS[i]
+    h[head & (at > 0) & (codes[at - 1] == 32)] += _SPACE_BEFORE
     return at, h
 
 
