@@ -8,11 +8,16 @@ per session.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SCOPES = threading.local()
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -42,6 +47,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    for scope in getattr(_SCOPES, "open", [])[-1:]:
+        scope.append(out)
     return out
 
 
@@ -52,6 +59,31 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A scope whose tables are deleted at its end, but for those that a frame passed to the yielded function still reads.
+
+    What is kept belongs to the scope around, if there is one.  After an error nothing is deleted: the tables may help.
+    """
+    scopes = _SCOPES.open = getattr(_SCOPES, "open", [])
+    made: list[DataFrame] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        files = df.inputFiles()
+        kept.update(t._written_to for t in made if any(f"/{t._written_to.rsplit('/', 1)[1]}/" in f for f in files))
+        return df
+
+    scopes.append(made)
+    try:
+        yield keep
+    finally:
+        scopes.pop()
+    discard(*[t for t in made if t._written_to not in kept])
+    for scope in scopes[-1:]:
+        scope += [t for t in made if t._written_to in kept]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if its scan has fewer partitions, as a table of one small file has; larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
