@@ -60,7 +60,7 @@ def siblings_of(level: np.ndarray) -> list[bytes]:
     for part, size in ((level[:whole], FANOUT), (level[whole:], len(level) - whole)):
         if len(part):
             at = np.arange(size - 1) + (np.arange(size - 1) >= np.arange(size)[:, None])
-            out += [x.tobytes() for x in part.reshape(-1, size, HEX)[:, at].reshape(-1, (size - 1) * HEX)]
+            out += [x.tobytes() for x in part.reshape(-1, size, HEX)[:, at].reshape(len(part), (size - 1) * HEX)]
     return out
 
 
