@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemospark.llm import chat, decontam, html_crf, kneser_ney, ledger, licenses, line_dedup, merkle, mixing, progressive_jpeg, simhash, superminhash
+from mnemospark.llm import alignment, chat, decontam, html_crf, kneser_ney, ledger, licenses, line_dedup, merkle, mixing, progressive_jpeg, simhash, superminhash
 from mnemospark.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.duplicate_lines(read(spark, sf_dir, "documents"), rate=0.1, min_words=5)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_manifest(read(spark, sf_dir, "documents"))
 
@@ -64,8 +68,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_simhash_near_dedup, op3_html_extraction, op4_source_mixing, op5_quality_classifier,
-        op6_secret_scan, op7_media_columns, op8_license_scan, op9_chat_format, op10_line_dedup, op12_merkle_manifest,
-        op13_superminhash_near_dedup,
+        op6_secret_scan, op7_media_columns, op8_license_scan, op9_chat_format, op10_line_dedup,
+        op11_token_alignment, op12_merkle_manifest, op13_superminhash_near_dedup,
     )
 }
 
