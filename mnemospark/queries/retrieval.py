@@ -9,9 +9,12 @@ from mnemospark.operators import retrieval as R
 from mnemospark.queries.base import MEMORIES, QUESTIONS, VECTORS, memories, questions, read, vectors
 from mnemospark.queries.scalars import COVERAGE, KEYWORDS, MATCH_TERMS, TERMS, WORD
 from mnemospark.functions import text as T
+from mnemospark.storage import shared_dir
 
 #: Results of a search, and what is fetched for it.
 LIMIT, FETCH = 5, 15
+#: Counts up with what is stored in an index, so that none of another make is read.
+FORMAT = 3
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +39,27 @@ def spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPACES = "spaces as (select query_id, 'fleet:' || project as namespace, 0 as ns_ord from questions where project is not null union all select query_id, 'fleet', case when project is null then 0 else 1 end from questions)"
 
 
+def _state(spark: SparkSession, sf_dir: str, *tables: str) -> str:
+    """A number for the present state of the tables' files."""
+    out = []
+    for table in tables:
+        files = read(spark, sf_dir, table).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        out.append(str(files.agg(F.sum(F.xxhash64("*").cast("decimal(38,0)")).alias("h")).first().h))
+    return "-".join(out)
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> R.KeywordIndex:
+    """The stored index of the memories, made once for a state of the table's files."""
+    return R.index(memories(spark, sf_dir), f"{shared_dir(spark)}/keyword-index/{FORMAT}-{_state(spark, sf_dir, 'documents')}")
+
+
+def record_vectors(spark: SparkSession, sf_dir: str) -> R.VectorIndex:
+    """The stored index of the memories' vectors, by namespace."""
+    return R.vector_index(records(spark, sf_dir), f"{shared_dir(spark)}/vector-index/{FORMAT}-{_state(spark, sf_dir, 'documents', 'embeddings')}")
+
+
 def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.keyword_search(memories(spark, sf_dir), questions(spark, sf_dir), spaces(spark, sf_dir), FETCH)
+    return R.keyword_search(keyword_index(spark, sf_dir), questions(spark, sf_dir), spaces(spark, sf_dir), FETCH)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +93,8 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose number is divisible by 20, as a query against all."""
     store = vectors(spark, sf_dir).select("id", F.lit("fleet").alias("namespace"), "vector")
     queries = store.filter("id % 20 = 0").select(F.col("id").cast("long").alias("query_id"), "namespace", "vector")
-    return R.vector_topk(store, queries, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+    index = R.vector_index(store, f"{shared_dir(spark)}/vector-index/{FORMAT}-{_state(spark, sf_dir, 'embeddings')}")
+    return index.search(queries, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
 VECTOR_TOPK = f"""with {VECTORS} select q.id::BIGINT as query_id, row_number() over (partition by q.id order by round(list_cosine_similarity(q.vector, v.vector), 9) desc, v.id) - 1 as rank, v.id, round(list_cosine_similarity(q.vector, v.vector), 6) as score
@@ -79,9 +102,8 @@ from vectors q, vectors v where q.id::BIGINT % 20 = 0 qualify rank < 10"""
 
 
 def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = records(spark, sf_dir).filter("vector is not null")
     queries = asked(spark, sf_dir).select("query_id", "vector").join(spaces(spark, sf_dir), "query_id")
-    return R.merge_namespaces(R.vector_topk(store, queries, FETCH), spaces(spark, sf_dir))
+    return R.merge_namespaces(record_vectors(spark, sf_dir).search(queries, FETCH), spaces(spark, sf_dir))
 
 
 def namespace_union_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +194,7 @@ RESOLVE = f"with recursive {MEMORIES}, {HEADS}, hits as (select id::BIGINT as qu
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: both arms, classic fusion, lineage, five results a question."""
-    out = R.search(records(spark, sf_dir), asked(spark, sf_dir), spaces(spark, sf_dir), LIMIT)
+    out = R.search(records(spark, sf_dir), asked(spark, sf_dir), spaces(spark, sf_dir), LIMIT, stored=keyword_index(spark, sf_dir), vectors=record_vectors(spark, sf_dir))
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "rrf_score", F.round("semantic_score", 6).alias("semantic_score"), F.round("keyword_score", 6).alias("keyword_score"), "superseded_from")
 
 

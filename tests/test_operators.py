@@ -65,7 +65,7 @@ def test_unknown_strategy_is_classic(spark):
 def test_bm25_scores(spark):
     docs = spark.createDataFrame([(str(i), t, "n") for i, t in enumerate(["deploy failed", "deploy now please", "other text", "café au lait", "x"])], "id string, content string, namespace string")
     q = spark.createDataFrame([(1, "deploy"), (2, "zzz")], "query_id long, query string")
-    got = retrieval.bm25(docs, q).collect()
+    got = retrieval.keyword_search(retrieval.index(docs), q, q.selectExpr("query_id", "'n' as namespace"), 5).collect()
     assert {r.id for r in got} == {"0", "1"} and all(r.keyword_score < 0 for r in got)
 
 
