@@ -10,42 +10,29 @@ On disk an index is a folder of tables, each in segments, one for each batch of
 * ``gone``: the numbers of the versions that the segment makes obsolete.
 
 A write reads only the buckets of the ids that it names.  A search reads only the buckets of the tokens that it asks for.
-A segment counts once its row in ``segments`` is there, so a batch that is repeated changes nothing.
+A batch that is repeated changes nothing.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import index_tokens
-from mnemospark.storage import broadcast_within, materialise, remove, scratch
+from mnemospark.sources.segments import Segmented
+from mnemospark.storage import broadcast_within, materialise, scratch
 
 #: BM25's parameters and least idf.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
-#: Buckets of ids and of tokens, postings in a block, term frequencies that blocks don't mix.
-BUCKETS, BLOCK, STEPS = 16, 128, 16
+#: Postings in a block, term frequencies that blocks don't mix.
+BLOCK, STEPS = 128, 16
 #: Numbers of obsolete versions and long lists that may be broadcast.
 MAX_SENT = 200_000
 
-_DOCUMENTS = "num long, id string, namespace string, len int, bucket int"
-_TERMS = "num long, tokens array<string>, bucket int"
-_BLOCKS = "namespace string, token string, step int, top_tf int, low_len int, n int, nums array<long>, tfs array<int>, lens array<int>, places array<array<int>>, bucket int"
-_CHANGES = "token string, documents long, tokens long, bucket int"
-_GONE = "num long"
-_SEGMENTS = "segment string, place int"
-
-
-def bucket(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
-
-
 def saturation(tf: Column, length: Column, mean: Column) -> Column:
     """What a term frequency is worth in a document of this length."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
@@ -77,98 +64,79 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-class KeywordIndex:
+class KeywordIndex(Segmented):
     """An index in the folder ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self._known: list[tuple[str, int]] | None = None
+    TABLES = {
+        "documents": "num long, id string, namespace string, len int, bucket int",
+        "terms": "num long, tokens array<string>, bucket int",
+        "blocks": "namespace string, token string, step int, top_tf int, low_len int, n int, nums array<long>, tfs array<int>, lens array<int>, places array<array<int>>, bucket int",
+        "changes": "token string, documents long, tokens long, bucket int",
+        "gone": "num long",
+    }
 
     # --- reading
 
-    def _segments(self) -> list[tuple[str, int]]:
-        """Names and places of the segments that count, as of the first look; every write looks anew."""
-        if self._known is None:
-            self._known = self._listed()
-        return self._known
-
-    def _listed(self) -> list[tuple[str, int]]:
-        try:
-            return sorted((tuple(r) for r in self.spark.read.schema(_SEGMENTS).parquet(f"{self.path}/segments").collect()), key=lambda r: r[1])  # a row for each segment since the last compaction
-        except AnalysisException:
-            return []
-
-    def _read(self, table: str, schema: str) -> DataFrame:
-        names = [name for name, _ in self._segments()]
-        if not names:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(f"{schema}, segment string").parquet(f"{self.path}/{table}").filter(F.col("segment").isin(names)).drop("segment")
-
     def _gone(self) -> DataFrame:
         """Numbers of obsolete versions; a first or only segment has none."""
-        return broadcast_within(self._read("gone", _GONE), MAX_SENT) if len(self._segments()) > 1 else self.spark.createDataFrame([], _GONE)
+        return broadcast_within(self.read("gone"), MAX_SENT) if len(self.segments()) > 1 else self.spark.createDataFrame([], self.TABLES["gone"])
 
     def documents(self) -> DataFrame:
         """``(num, id, namespace, len)`` of the documents that count now."""
-        return self._read("documents", _DOCUMENTS).join(self._gone(), "num", "left_anti")
+        return self.read("documents").join(self._gone(), "num", "left_anti")
 
     def totals(self) -> tuple[int, float]:
         """Number of documents and their mean length, summed from the changes of the segments."""
-        r = self._read("changes", _CHANGES).filter("token is null").agg(F.sum("documents").alias("n"), F.sum("tokens").alias("length")).first()
+        r = self.read("changes").filter("token is null").agg(F.sum("documents").alias("n"), F.sum("tokens").alias("length")).first()
         return r.n or 0, (r.length or 0) / r.n if r.n else 0.0
 
-    def _of(self, table: str, schema: str, column: str, keys: DataFrame) -> DataFrame:
+    def _of(self, table: str, column: str, keys: DataFrame) -> DataFrame:
         """Rows whose ``column`` is among the distinct ``k`` of ``keys``, from the buckets of these alone."""
-        numbers = [r.b for r in keys.select(bucket(F.col("k")).alias("b")).distinct().collect()]  # no more than BUCKETS
-        rows = self._read(table, schema).filter(F.col("bucket").isin(numbers))
+        numbers = [r.b for r in keys.select(self.bucket("k").alias("b")).distinct().collect()]  # no more than BUCKETS
+        rows = self.read(table).filter(F.col("bucket").isin(numbers))
         return rows.join(keys.select("k"), rows[column] == F.col("k")).drop("k")
 
     def frequencies(self, tokens: DataFrame) -> DataFrame:
         """``(token, df)`` of the distinct ``tokens``."""
-        return self._of("changes", _CHANGES, "token", tokens.select(F.col("token").alias("k"))).groupBy("token").agg(F.sum("documents").alias("df"))
+        return self._of("changes", "token", tokens.select(F.col("token").alias("k"))).groupBy("token").agg(F.sum("documents").alias("df"))
 
     def blocks(self, tokens: DataFrame) -> DataFrame:
         """The blocks of the distinct ``tokens``."""
-        return self._of("blocks", _BLOCKS, "token", tokens.select(F.col("token").alias("k"))).drop("bucket")
+        return self._of("blocks", "token", tokens.select(F.col("token").alias("k"))).drop("bucket")
 
     # --- writing
 
-    def upsert(self, documents: DataFrame, batch: str | None = None) -> bool:
+    def upsert(self, documents: DataFrame, batch: int | None = None) -> bool:
         """Put in ``(id, namespace, content)``, in place of what the ids had; a null or empty content takes the id out.
 
-        Rows without an id do nothing; of rows that share an id one with the greatest content counts.  ``batch`` names
-        the write: a name that was written before does nothing, and the answer is False.
+        Rows without an id do nothing; of rows that share an id one with the greatest content counts.  ``batch``
+        numbers the write: one that isn't above those before does nothing, and the answer is False.
         """
-        self._known = None
-        segments = self._segments()
-        name = batch or uuid.uuid4().hex
-        if any(s == name for s, _ in segments):
+        segments = self.look()
+        if self.seen(batch):
             return False
-        place = 1 + max((p for _, p in segments), default=-1)
+        name, place = self.begin()
         with scratch():
             given = documents.filter("id is not null and id <> ''").groupBy("id").agg(F.max(F.struct(F.coalesce("content", F.lit("")).alias("content"), "namespace")).alias("x"))
             numbered = given.select("id", "x.namespace", index_tokens(F.col("x.content")).alias("tokens"), (F.col("x.content") != "").alias("stays")).withColumn("num", F.lit(place << 40) + F.monotonically_increasing_id())
-            rows = materialise(numbered.withColumn("bucket", bucket(F.col("id"))), "given")
+            rows = materialise(numbered.withColumn("bucket", self.bucket("id")), "given")
             fresh = rows.filter("stays")
             gone = terms_gone = None
             if segments:
-                old = self._of("documents", _DOCUMENTS, "id", rows.select(F.col("id").alias("k")))
+                old = self._of("documents", "id", rows.select(F.col("id").alias("k")))
                 gone = materialise(old.join(self._gone(), "num", "left_anti").select("num", "id", "len"), "gone")
-                numbers = [r.b for r in gone.select(bucket(F.col("id")).alias("b")).distinct().collect()]
-                known = self._read("terms", _TERMS).filter(F.col("bucket").isin(numbers))
+                numbers = [r.b for r in gone.select(self.bucket("id").alias("b")).distinct().collect()]
+                known = self.read("terms").filter(F.col("bucket").isin(numbers))
                 terms_gone = known.join(gone.select("num"), "num").select(F.explode("tokens").alias("token"))
             self._write(name, fresh, gone, terms_gone)
-        self._commit([(name, place)], "append")
+        self.commit(name, place, batch)
         return True
 
     def _write(self, name: str, fresh: DataFrame, gone: DataFrame | None, terms_gone: DataFrame | None) -> None:
-        def put(df: DataFrame, table: str, by: list[str]) -> None:
-            df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{table}/segment={name}")
-
         sized = fresh.withColumn("len", F.size("tokens"))
         dealt = sized.repartition("bucket", F.pmod("num", F.lit(8)))
-        put(dealt.select("num", "id", "namespace", "len", "bucket"), "documents", ["bucket"])
-        put(dealt.select("num", F.array_distinct("tokens").alias("tokens"), "bucket"), "terms", ["bucket"])
+        self.put(dealt.select("num", "id", "namespace", "len", "bucket"), "documents", name)
+        self.put(dealt.select("num", F.array_distinct("tokens").alias("tokens"), "bucket"), "terms", name)
         posted = materialise(sized.select("num", "namespace", "tokens").mapInArrow(_postings, "num long, namespace string, token string, len int, tf int, places array<int>"), "postings")
         # Postings of a long list meet those of like frequency and length, so that a block's bound is close; whatever is
         # longer than a block is cut by the document's number, so that no list is ever in one task.
@@ -182,23 +150,19 @@ class KeywordIndex:
         cut = cut.withColumn("step", F.when(F.col("chunks").isNull(), F.lit(0)).otherwise(F.col("step"))).withColumn("chunk", F.pmod(F.xxhash64("num"), F.coalesce("chunks", F.lit(1))))
         row = F.sort_array(F.collect_list(F.struct("num", "tf", "len", "places")))
         blocks = cut.groupBy("namespace", "token", "step", "chunk").agg(F.max("tf").alias("top_tf"), F.min("len").alias("low_len"), F.count("*").cast("int").alias("n"), row.alias("p"))
-        blocks = blocks.select("namespace", "token", "step", "top_tf", "low_len", "n", F.col("p.num").alias("nums"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"), F.col("p.places").alias("places"), bucket(F.col("token")).alias("bucket"))
-        put(blocks.repartition("bucket", F.pmod(F.xxhash64("token", "step", "nums"), F.lit(8))).sortWithinPartitions("bucket", "token"), "blocks", ["bucket"])
+        blocks = blocks.select("namespace", "token", "step", "top_tf", "low_len", "n", F.col("p.num").alias("nums"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"), F.col("p.places").alias("places"), self.bucket("token").alias("bucket"))
+        self.put(blocks.repartition("bucket", F.pmod(F.xxhash64("token", "step", "nums"), F.lit(8))).sortWithinPartitions("bucket", "token"), "blocks", name)
         changes = posted.groupBy("token").agg(F.count("*").alias("documents"))
         total = sized.agg(F.count("*").alias("documents"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"))
         if gone is not None:
             changes = changes.unionByName(terms_gone.groupBy("token").agg((-F.count("*")).alias("documents")))
             total = total.unionByName(gone.agg((-F.count("*")).alias("documents"), (-F.coalesce(F.sum("len"), F.lit(0))).alias("tokens")))
         both = changes.withColumn("tokens", F.lit(0).cast("long")).unionByName(total.select(F.lit(None).cast("string").alias("token"), "documents", "tokens"))
-        summed = both.groupBy("token").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).withColumn("bucket", F.coalesce(bucket(F.col("token")), F.lit(-1)))
-        put(summed.repartition("bucket").sortWithinPartitions("token"), "changes", ["bucket"])
-        put((gone if gone is not None else self.spark.createDataFrame([], _GONE)).select("num"), "gone", [])
-
-    def _commit(self, segments: list[tuple[str, int]], mode: str) -> None:
-        self.spark.createDataFrame(segments, _SEGMENTS).coalesce(1).write.mode(mode).parquet(f"{self.path}/segments")
-        self._known = None
+        summed = both.groupBy("token").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).withColumn("bucket", F.coalesce(self.bucket("token"), F.lit(-1)))
+        self.put(summed.repartition("bucket").sortWithinPartitions("token"), "changes", name)
+        self.put((gone if gone is not None else self.spark.createDataFrame([], self.TABLES["gone"])).select("num"), "gone", name)
 
-    def delete(self, ids: DataFrame, batch: str | None = None) -> bool:
+    def delete(self, ids: DataFrame, batch: int | None = None) -> bool:
         """Take out the documents with these ``id``s."""
         return self.upsert(ids.select("id", F.lit(None).cast("string").alias("namespace"), F.lit(None).cast("string").alias("content")), batch)
 
@@ -284,7 +248,7 @@ class KeywordIndex:
         asked = weighed.select("query_id", "key", "weight").distinct()
         own = postings.join(candidates, "num").join(asked, ["query_id", "key"])
         score = own.groupBy("query_id", "num").agg((-F.sum(F.col("weight") * saturation(F.col("tf"), F.col("len"), F.lit(found["mean"] or 1.0)))).alias("keyword_score"))
-        names = self._read("documents", _DOCUMENTS).select("num", "id")
+        names = self.read("documents").select("num", "id")
         return score.join(names, "num").select("query_id", "id", "keyword_score")
 
     # --- upkeep
@@ -294,17 +258,12 @@ class KeywordIndex:
 
         The old segments' files go when the new one counts; a search that began before must be begun again.
         """
-        self._known = None
-        segments = self._segments()
-        if len(segments) < 2:
+        if len(self.look()) < 2:
             return
-        name, place = uuid.uuid4().hex, 1 + segments[-1][1]
-        own = self._read("blocks", _BLOCKS).select("token", F.explode(F.arrays_zip("nums", "places")).alias("x")).select("token", F.col("x.nums").alias("num"), F.explode("x.places").alias("at"))
+        name, place = self.begin()
+        own = self.read("blocks").select("token", F.explode(F.arrays_zip("nums", "places")).alias("x")).select("token", F.col("x.nums").alias("num"), F.explode("x.places").alias("at"))
         texts = own.groupBy("num").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("tokens"))
         with scratch():
-            rows = self.documents().join(texts, "num", "left").select("num", "id", "namespace", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), bucket(F.col("id")).alias("bucket"))
+            rows = self.documents().join(texts, "num", "left").select("num", "id", "namespace", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), self.bucket("id").alias("bucket"))
             self._write(name, materialise(rows, "compacted"), None, None)
-        self._commit([(name, place)], "overwrite")
-        for old, _ in segments:
-            for table in ("documents", "terms", "blocks", "changes", "gone"):
-                remove(self.spark, f"{self.path}/{table}/segment={old}")
+        self.replace(name, place)

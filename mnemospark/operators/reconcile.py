@@ -64,14 +64,27 @@ def in_bounds(records: DataFrame, keys: list[str], low: int = 2, high: int = MAX
 # --- near-duplicates
 
 
-def candidate_pairs(records: DataFrame, threshold: float = THRESHOLD, keys: tuple[str, ...] = ("namespace", "subject")) -> DataFrame:
+def in_question(records: DataFrame) -> DataFrame:
+    """Current records with a subject, which is made a slug."""
+    return records.filter(F.coalesce("current", F.lit(True)) & (F.coalesce("subject", F.lit("")) != "")).withColumn("subject", slugify(F.col("subject")))
+
+
+def candidate_pairs(records: DataFrame, threshold: float = THRESHOLD, keys: tuple[str, ...] = ("namespace", "subject"), only: str | None = None) -> DataFrame:
     """``(id_a, id_b, similarity)`` with id_a < id_b in the same group; vectors are scaled once, before the join.
 
-    Groups are bounded by ``in_bounds``, so the pairs of a record are too.
+    Groups are bounded by ``in_bounds``, so the pairs of a record are too.  With ``only``, the name of a flag, records
+    are compared with those that have the flag.
     """
-    own = records.filter(F.size("vector") > 0).select(*keys, "id", F.size("vector").alias("dims"), unit(F.col("vector")).alias("u"))
-    a, b = own.withColumnsRenamed({"id": "id_a", "u": "u_a"}), own.withColumnsRenamed({"id": "id_b", "u": "u_b"})
-    pairs = a.join(b, [*keys, "dims"]).filter("id_a < id_b")
+    flag = F.lit(True) if only is None else F.col(only)
+    own = records.filter(F.size("vector") > 0).select(*keys, "id", F.size("vector").alias("dims"), unit(F.col("vector")).alias("u"), flag.alias("flag"))
+    a, b = own.withColumnsRenamed({"id": "id_a", "u": "u_a", "flag": "flag_a"}), own.withColumnsRenamed({"id": "id_b", "u": "u_b", "flag": "flag_b"})
+    if only is None:
+        pairs = a.join(b, [*keys, "dims"]).filter("id_a < id_b")
+    else:
+        pairs = a.join(b.filter("flag_b"), [*keys, "dims"]).filter("id_a <> id_b and (not flag_a or id_a < id_b)")
+        first = F.col("id_a") < F.col("id_b")
+        swapped = {f"{x}_{s}": F.when(first, F.col(f"{x}_{s}")).otherwise(F.col(f"{x}_{o}")) for x in ("id", "u") for s, o in ("ab", "ba")}
+        pairs = pairs.select(*[c.alias(n) for n, c in swapped.items()])
     return pairs.withColumn("similarity", F.coalesce(dot(F.col("u_a"), F.col("u_b")), F.lit(0.0))).filter(F.round("similarity", 9) >= threshold).select("id_a", "id_b", "similarity")
 
 
@@ -92,6 +105,13 @@ def choose_heads(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster").agg(F.max_by("id", rank).alias("head"))
 
 
+def with_texts(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """Pairs with their texts ``a`` and ``b``, and whether these differ in numbers only."""
+    texts = records.select("id", "content")
+    both = pairs.join(texts.withColumnsRenamed({"id": "id_a", "content": "a"}), "id_a").join(texts.withColumnsRenamed({"id": "id_b", "content": "b"}), "id_b")
+    return both.withColumn("guarded", number_guard(F.col("a"), F.col("b")))
+
+
 def dedup(records: DataFrame, threshold: float = THRESHOLD, max_group: int = MAX_GROUP, since: str | None = None, judge: Judge = same_skeleton) -> dict[str, DataFrame]:
     """The near-duplicate stage; its outcomes by name.
 
@@ -99,13 +119,10 @@ def dedup(records: DataFrame, threshold: float = THRESHOLD, max_group: int = MAX
     ``quarantined``: pairs that differ in numbers only.  ``judged``: the other pairs with their verdict.  ``losers``:
     ``(id, head)``.  ``heads``: ``(id, supersedes)``, what was there before first, then the losers by id.
     """
-    live = records.filter(F.coalesce("current", F.lit(True)) & (F.coalesce("subject", F.lit("")) != "")).withColumn("subject", slugify(F.col("subject")))
-    keys = ["namespace", "subject"]
+    live, keys = in_question(records), ["namespace", "subject"]
     grouped = materialise(in_bounds(dirty_groups(live, keys, since), keys, 2, max_group), "groups")
     pairs = candidate_pairs(grouped, threshold)
-    texts = grouped.select("id", "content")
-    both = pairs.join(texts.withColumnsRenamed({"id": "id_a", "content": "a"}), "id_a").join(texts.withColumnsRenamed({"id": "id_b", "content": "b"}), "id_b")
-    both = materialise(both.withColumn("guarded", number_guard(F.col("a"), F.col("b"))), "pairs")
+    both = materialise(with_texts(pairs, grouped), "pairs")
     judged = both.filter("not guarded").withColumn("verdict", judge(F.col("a"), F.col("b")))
     same = materialise(judged.filter("verdict = 'duplicate'").select("id_a", "id_b"), "same")
     linked = same.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()

@@ -155,10 +155,10 @@ def stream_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     writes = _stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.col("event_type"), F.lit("-"), (F.col("user_id") % 3).cast("string")).alias("source"))
-    name = f"flood_{uuid.uuid4().hex}"
-    q = I.flood_counts(writes, "24 hours", "6 hours", "2 hours").writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).groupBy(F.unix_timestamp("start").alias("start"), "source").agg(F.max("n").alias("n"))
+    path = f"{shared_dir(spark)}/flood-{uuid.uuid4().hex}"
+    counts = I.flood_counts(writes, "24 hours", "6 hours", "2 hours")
+    counts.writeStream.outputMode("update").foreachBatch(I.kept(path)).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(path).groupBy(F.unix_timestamp("start").alias("start"), "source").agg(F.max("n").alias("n"))
 
 
 STREAM_FLOOD = """with w as (select event_type || '-' || (user_id % 3) as source, epoch(ts)::BIGINT as t from events), s as (select source, t // 21600 * 21600 - 21600 * unnest(range(4)) as start from w)

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from mnemospark.operators import reconcile as R
 from mnemospark.operators import writing as W
 from mnemospark.operators.components import connected_components
+from mnemospark.plans.increments import DuplicateGroups
 from mnemospark.queries.base import ALIASES, MEMORIES, VECTORS, aliases, memories, read, skeleton_sql, slug_sql, strip_sql, vectors
 from mnemospark.queries.scalars import SECRET_FLAGS, VAGUENESS
+from mnemospark.storage import shared_dir
 
-#: The tables' vectors have no pair at the default similarity and larger groups than the default cap.
-SIMILARITY, GROUP = 0.30, 5_000
+#: The tables' vectors have no pair at the default similarity.
+SIMILARITY, GROUP = 0.30, R.MAX_GROUP
 KINDS = "(" + ", ".join(f"'{k}'" for k in W.CLAIM_TYPES) + ")"
 
 
@@ -117,13 +119,13 @@ NAMESPACE_HEAL = f"with {MEMORIES}, m as (select case when id::BIGINT % 3 = 0 th
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memories that have a vector; their subject is the vector's label."""
+    """Memories that have a vector; a label of each three hundred is a subject, so that groups stay under the cap however large the table is."""
     m = memories(spark, sf_dir).select("id", "content", "created_at", "current", "why", "claim_type").withColumn("supersedes", F.when(F.col("id") % 7 == 0, F.array(F.lit("old"))))
-    return m.join(vectors(spark, sf_dir).withColumnRenamed("label", "subject"), "id").withColumn("namespace", F.lit("fleet"))
+    return m.join(vectors(spark, sf_dir).withColumn("subject", F.concat("label", F.lit(" "), F.floor(F.col("id").cast("long") / 300).cast("string"))).drop("label"), "id").withColumn("namespace", F.lit("fleet"))
 
 
-RECORDS = "records as (select m.id, content, created_at, current, why, claim_type, case when m.id::BIGINT % 7 = 0 then ['old'] end as supersedes, vector, label as subject from memories m join vectors using (id) where coalesce(current, true))"
-PAIRS = f"pairs as (select a.id as id_a, b.id as id_b, list_cosine_similarity(a.vector, b.vector) as similarity, a.content as ca, b.content as cb from records a join records b on a.subject = b.subject and a.id < b.id where round(list_cosine_similarity(a.vector, b.vector), 9) >= {SIMILARITY})"
+RECORDS = "records as (select m.id, content, created_at, current, why, claim_type, case when m.id::BIGINT % 7 = 0 then ['old'] end as supersedes, vector, label || ' ' || (m.id::BIGINT // 300) as subject from memories m join vectors using (id) where coalesce(current, true))"
+PAIRS = f"pairs as (select a.id as id_a, b.id as id_b, list_cosine_similarity(a.vector, b.vector) as similarity, a.content as ca, b.content as cb from records a join records b on a.subject = b.subject and a.id < b.id where a.subject in (select subject from records group by subject having count(*) <= {GROUP}) and round(list_cosine_similarity(a.vector, b.vector), 9) >= {SIMILARITY})"
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +182,16 @@ same as (select id_a, id_b from j where {_SAME}), both_ways as (select id_a as u
 select 'groups' as what, count(*) as n from g union all select 'records', sum(n)::BIGINT from g union all select 'judged', count(*) from j union all select 'quarantined', (select count(*) from pairs) - (select count(*) from j) union all select 'collapsed', count(*) - count(distinct cluster) from comp union all select 'heads', count(distinct cluster) from comp"""
 
 
+def incremental_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three runs over a third of the records each leave: the same as one run over all."""
+    import uuid
+
+    state = DuplicateGroups(spark, f"{shared_dir(spark)}/groups-{uuid.uuid4().hex}", SIMILARITY, GROUP, R.always_duplicate)
+    for part in range(3):
+        state.add(_records(spark, sf_dir).filter(F.col("id").cast("long") % 3 == part), part)
+    return state.losers()
+
+
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the graph in which an order links its customer to one three times as far from the ten before."""
     edges = read(spark, sf_dir, "orders").selectExpr("o_custkey as u", "o_custkey - o_custkey % 10 + o_custkey * 3 % 10 as v")
@@ -254,12 +266,12 @@ def rebucket_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    alias_canonicalize, write_contract, metadata_overlay, payload_flatten, merge_update, mirror_upsert, namespace_heal, cosine_pairs, dedup_collapse, dedup_heads, dedup_report, graph_components,
+    alias_canonicalize, write_contract, metadata_overlay, payload_flatten, merge_update, mirror_upsert, namespace_heal, cosine_pairs, dedup_collapse, dedup_heads, dedup_report, incremental_groups, graph_components,
     supersede_lineage, incremental_dirty_groups, lineage_history, subject_backfill, known_entity_semi_join, rebucket_actions,
 )}
 SQL = {
     "alias_canonicalize": ALIAS_CANONICALIZE, "write_contract": WRITE_CONTRACT, "metadata_overlay": METADATA_OVERLAY, "payload_flatten": PAYLOAD_FLATTEN, "merge_update": MERGE_UPDATE, "mirror_upsert": MIRROR_UPSERT,
-    "namespace_heal": NAMESPACE_HEAL, "cosine_pairs": COSINE_PAIRS, "dedup_collapse": DEDUP_COLLAPSE, "dedup_heads": DEDUP_HEADS, "dedup_report": DEDUP_REPORT, "graph_components": GRAPH_COMPONENTS,
+    "namespace_heal": NAMESPACE_HEAL, "cosine_pairs": COSINE_PAIRS, "dedup_collapse": DEDUP_COLLAPSE, "dedup_heads": DEDUP_HEADS, "dedup_report": DEDUP_REPORT, "incremental_groups": DEDUP_COLLAPSE, "graph_components": GRAPH_COMPONENTS,
     "supersede_lineage": _lineage_sql(None), "incremental_dirty_groups": _lineage_sql("2024-07-15T00:00:00Z"), "lineage_history": LINEAGE_HISTORY, "subject_backfill": SUBJECT_BACKFILL, "known_entity_semi_join": REBUCKET,
     "rebucket_actions": f"select action, count(*) as n from ({REBUCKET}) group by action",
 }

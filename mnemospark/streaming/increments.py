@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mnemospark.operators.monitoring import FLOOD
+from mnemospark.sources.segments import Segmented
 
 
 def read_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -21,21 +22,61 @@ def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Mirror(Segmented):
+    """The keyword index's source of truth: a base and the batches since, by bucket of the id.
+
+    Reading meets a base and ``DELTAS`` batches at most, however many there have been.
+    """
+
+    TABLES = {"writes": "id string, namespace string, text string, seq long, bucket int"}
+    #: Batches that may lie on the base before they become one with it.
+    DELTAS = 8
+
+    def batch(self, writes: DataFrame, number: int) -> None:
+        """A function for ``foreachBatch``: ``(seq, id, namespace, text)``, of which the last write of an id counts.
+
+        A write without id or text does nothing; with a column ``deleted`` its true rows take the id out.  A batch that
+        is repeated changes nothing.
+        """
+        self.look()
+        if self.seen(number):
+            return
+        deleted = F.coalesce("deleted", F.lit(False)) if "deleted" in writes.columns else F.lit(False)
+        ok = writes.filter("id is not null and id <> ''").withColumn("text", F.when(~deleted, F.col("text"))).filter((F.coalesce("text", F.lit("")) != "") | deleted)
+        last = ok.groupBy("id").agg(F.max_by(F.struct("namespace", "text", "seq"), "seq").alias("x")).select("id", "x.*")
+        name, place = self.begin()
+        self.put(last.withColumn("bucket", self.bucket("id")).repartition("bucket"), "writes", name)
+        self.commit(name, place, number)
+        if len(self.segments()) > self.DELTAS:
+            self.compact()
+
+    def _last(self) -> DataFrame:
+        rows, order = self.read("writes", places=True), F.struct("place", "seq")
+        return rows.groupBy("id", "bucket").agg(F.max_by(F.struct("namespace", "text", "seq"), order).alias("x")).select("id", "x.*", "bucket").filter("text is not null")
+
+    def compact(self) -> None:
+        name, place = self.begin()
+        self.put(self._last(), "writes", name)
+        self.replace(name, place)
+
+    def rows(self) -> DataFrame:
+        """``(id, namespace, text)`` as the writes have left it."""
+        return self._last().select("id", "namespace", "text")
+
+
 def mirror(index_path: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps the keyword index: each batch is a version of its own, so a repeated batch changes nothing."""
+    """A batch function that keeps the mirror at ``index_path``."""
+    return lambda writes, number: Mirror(writes.sparkSession, index_path).batch(writes, number)
 
-    def batch(writes: DataFrame, number: int) -> None:
-        ok = writes.filter("id is not null and id <> '' and text is not null and text <> ''")
-        ok.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{index_path}/batch={number}")
 
-    return batch
+def kept(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that writes each batch beside the others; one that is repeated takes its own place."""
+    return lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
 def mirrored(spark: SparkSession, index_path: str) -> DataFrame:
-    """The index: the last write of each id."""
-    log = spark.read.parquet(index_path)
-    last = F.struct("batch", "seq")
-    return log.groupBy("id").agg(F.max_by("namespace", last).alias("namespace"), F.max_by("text", last).alias("text"))
+    """``(id, namespace, text)``: the last write of each id."""
+    return Mirror(spark, index_path).rows()
 
 
 def flood_counts(writes: DataFrame, window: str = "24 hours", slide: str = "1 hour", late: str = "2 hours", threshold: int = FLOOD) -> DataFrame:

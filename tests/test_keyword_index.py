@@ -67,7 +67,7 @@ SPACES = {1: ["n0", "n1", "n2"], 2: ["n0", "n1"], 3: ["n2"], 4: ["n0"], 5: ["n1"
 
 def test_search_equals_a_scan_and_scores_fewer_pairs(spark, docs, tmp_path):
     index = K.KeywordIndex(spark, str(tmp_path / "index"))
-    assert index.upsert(frame(spark, docs), "first")
+    assert index.upsert(frame(spark, docs), 0)
     assert found(spark, index, QUERIES, SPACES, 5) == scan(docs, QUERIES, SPACES, 5)
     q = spark.createDataFrame(list(QUERIES.items()), "query_id long, query string")
     ns = spark.createDataFrame([(k, n) for k in QUERIES for n in SPACES[k]], "query_id long, namespace string")
@@ -81,11 +81,11 @@ def test_search_equals_a_scan_and_scores_fewer_pairs(spark, docs, tmp_path):
 
 def test_writes_change_the_statistics_alone(spark, docs, tmp_path):
     index, now = K.KeywordIndex(spark, str(tmp_path / "index")), dict(docs)
-    index.upsert(frame(spark, now), "first")
+    index.upsert(frame(spark, now), 0)
     new = {"d1": ("n0", "word58 word58 zebra"), "d2": ("n2", sentence(20)), "extra": ("n0", "word0 word1 word58"), "d3": ("n0", "")}
-    index.upsert(frame(spark, new), "second")
-    assert not index.upsert(frame(spark, {"d1": ("n0", "other")}), "second")  # a repeated batch does nothing
-    index.delete(spark.createDataFrame([("d5",), ("d6",), ("nobody",)], "id string"), "third")
+    index.upsert(frame(spark, new), 1)
+    assert not index.upsert(frame(spark, {"d1": ("n0", "other")}), 1)  # a repeated batch does nothing
+    index.delete(spark.createDataFrame([("d5",), ("d6",), ("nobody",)], "id string"), 2)
     now |= new
     now = {i: x for i, x in now.items() if i not in ("d3", "d5", "d6")}
     assert index.totals()[0] == len(now) and index.documents().count() == len(now)
@@ -94,9 +94,10 @@ def test_writes_change_the_statistics_alone(spark, docs, tmp_path):
     want = scan(now, QUERIES, SPACES, 5)
     assert found(spark, index, QUERIES, SPACES, 5) == want
     index.compact()
-    assert len(index._segments()) == 1 and index.totals()[0] == len(now)
+    assert len(index.segments()) == 1 and index.totals()[0] == len(now)
     assert found(spark, index, QUERIES, SPACES, 5) == want
-    index.upsert(frame(spark, {"d1": ("n1", "word58")}), "fourth")
+    assert not index.upsert(frame(spark, {"d1": ("n0", "other")}), 1)  # not even after a compaction
+    index.upsert(frame(spark, {"d1": ("n1", "word58")}), 3)
     now["d1"] = ("n1", "word58")
     assert found(spark, index, QUERIES, SPACES, 5) == scan(now, QUERIES, SPACES, 5)
 
@@ -104,10 +105,10 @@ def test_writes_change_the_statistics_alone(spark, docs, tmp_path):
 def test_a_write_reads_no_postings(spark, docs, tmp_path):
     """Only the stored documents and terms of the buckets at hand are read."""
     index = K.KeywordIndex(spark, str(tmp_path / "index"))
-    index.upsert(frame(spark, docs), "first")
+    index.upsert(frame(spark, docs), 0)
     read = []
-    plain = index._read
-    index._read = lambda table, schema: read.append(table) or plain(table, schema)
+    plain = index.read
+    index.read = lambda table: read.append(table) or plain(table)
     index.delete(spark.createDataFrame([("d7",)], "id string"))
     assert set(read) == {"documents", "terms"}
 
