@@ -14,7 +14,7 @@ from mnemospark.operators import writing as W
 from mnemospark.queries import retrieval as Q
 from mnemospark.queries.base import MEMORIES, aliases, memories, read
 from mnemospark.queries.reconcile import WRITE_CONTRACT, _candidates
-from mnemospark.sources import files, forge, sinks
+from mnemospark.sources import files, forge, load, sinks
 from mnemospark.storage import shared_dir
 
 
@@ -118,6 +118,18 @@ FORGE_COMMITS = """with c as (select event_id, user_id % 7 as r, ['Merge branch
 select 'o' as owner, 'r' || r as repo, md5(string_agg('COMMIT ' || substr('abcdef' || lpad(cast(event_id as varchar), 8, '0'), 1, 8) || ' by n on 2024-05-06:' || chr(10) || m, chr(10) || chr(10) order by event_id)) as text_md5 from c where length(m) >= 10 group by r"""
 
 
+def load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as facts, some without content, sent to a folder that lets short ones go."""
+    import uuid
+
+    facts = read(spark, sf_dir, "conversations").selectExpr("case when (conv_id + turn) % 97 <> 5 then text end as content", "role as category", "cast(null as string) as project", "case when turn = 0 then 'first' end as subject")
+    path = f"{shared_dir(spark)}/load-{uuid.uuid4().hex}"
+    return load.load(facts, f"{path}/facts", f"{path}/report.json", wait="0", least="60").drop("tasks")
+
+
+LOAD_COUNTS = "select count(*) filter (where (conv_id + turn) % 97 <> 5 and length(text) >= 60) as written, count(*) filter (where (conv_id + turn) % 97 <> 5 and length(text) < 60) as refused, count(*) filter (where (conv_id + turn) % 97 = 5 or text is null) as failed from conversations"
+
+
 def thread_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thread answers made of events: item numbers to ids, bad ones dropped."""
     e = read(spark, sf_dir, "events").selectExpr("event_id", "array('p', 'q', 'r') as ids", "concat('{\"threads\": [[', user_id % 5, ', \"2\"], [\"x\"], [', event_id % 4, ']]}') as raw")
@@ -167,9 +179,9 @@ def authority_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 AUTHORITY_CHECK = f"with w as ({WRITE_CONTRACT}) select case when (error is null or error = 'MEMORY_FAILS_WRITE_CONTRACT') and contains(lower(text), 'the') then 'MEMORY_AUTHORITY_CONFLICT' else coalesce(error, 'stored') end as outcome, count(*) as n from w join documents d on cast(d.doc_id as varchar) = w.id group by 1"
 
 QUERIES = {f.__name__: f for f in (
-    point_lookup, sample_scan, canary, point_append, index_rebuild, gate_log_sink, forge_issues, forge_commits, thread_parse, salvaged_facts, markdown_discovery, embed_texts, authority_check,
+    point_lookup, sample_scan, canary, point_append, index_rebuild, gate_log_sink, forge_issues, forge_commits, load_counts, thread_parse, salvaged_facts, markdown_discovery, embed_texts, authority_check,
 )}
 SQL = {
-    "point_lookup": POINT_LOOKUP, "sample_scan": SAMPLE_SCAN, "canary": CANARY, "point_append": POINT_APPEND, "index_rebuild": INDEX_REBUILD, "gate_log_sink": GATE_LOG_SINK, "forge_issues": FORGE_ISSUES, "forge_commits": FORGE_COMMITS,
+    "point_lookup": POINT_LOOKUP, "sample_scan": SAMPLE_SCAN, "canary": CANARY, "load_counts": LOAD_COUNTS, "point_append": POINT_APPEND, "index_rebuild": INDEX_REBUILD, "gate_log_sink": GATE_LOG_SINK, "forge_issues": FORGE_ISSUES, "forge_commits": FORGE_COMMITS,
     "thread_parse": THREAD_PARSE, "salvaged_facts": SALVAGED_FACTS, "markdown_discovery": MARKDOWN_DISCOVERY, "embed_texts": EMBED_TEXTS, "authority_check": AUTHORITY_CHECK,
 }

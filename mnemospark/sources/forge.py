@@ -1,7 +1,12 @@
 """Issues and commits of code forges: a Python data source that pages through the API, and rendering with DataFrame functions.
 
 The source gives raw objects, ``(owner, repo, resource, parent, seq, payload)``, a partition for each repository.  The
-base is a URL, or a folder with the same paths as files (``.../issues/page-1.json``) for work without a network.
+last of a repository is its ``status``: whether all of it came.  The base is a URL, or a folder with the same paths as
+files (``.../issues/page-1.json``) for work without a network.
+
+Repositories are named, or listed from their owners.  As a stream the source has the map from repository to fingerprint
+as its offset, so that a run reads the repositories that have changed; one that failed leaves a mark in the folder
+``failures``, which alters its fingerprint, so that the next run reads it again.
 """
 
 from __future__ import annotations
@@ -12,11 +17,13 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Iterator
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from mnemospark.functions.text import strip
 from mnemospark.sources.files import is_noise
@@ -28,13 +35,13 @@ MAX_COMMITS, BODY_CUT, COMMENT_CUT, MESSAGE_CUT, SHORT_MESSAGE = 200, 1500, 800,
 TRIES = 3
 #: What differs between the forges.  Paths are filled with owner and repository.
 FORGES = {
-    "github": {"page": 100, "size": "per_page", "repo": "/repos/{o}/{r}", "issues": [("/repos/{o}/{r}/issues", {"state": "all"}, None)], "notes": "/repos/{o}/{r}/issues/{n}/comments", "commits": "/repos/{o}/{r}/commits", "number": "number", "count": "comments"},
+    "github": {"page": 100, "size": "per_page", "listed": ("/orgs/{o}/repos", {"type": "all"}), "own": ("/user/repos", {"affiliation": "owner"}), "repo": "/repos/{o}/{r}", "issues": [("/repos/{o}/{r}/issues", {"state": "all"}, None)], "notes": "/repos/{o}/{r}/issues/{n}/comments", "commits": "/repos/{o}/{r}/commits", "number": "number", "count": "comments"},
     "gitlab": {
-        "page": 100, "size": "per_page", "repo": "/api/v4/projects/{id}", "issues": [("/api/v4/projects/{id}/issues", {"state": s}, s) for s in ("opened", "closed")], "notes": "/api/v4/projects/{id}/issues/{n}/notes",
+        "listed": ("/api/v4/groups/{o}/projects", {"include_subgroups": "true", "simple": "true"}), "own": ("/api/v4/projects", {"owned": "true", "simple": "true"}), "page": 100, "size": "per_page", "repo": "/api/v4/projects/{id}", "issues": [("/api/v4/projects/{id}/issues", {"state": s}, s) for s in ("opened", "closed")], "notes": "/api/v4/projects/{id}/issues/{n}/notes",
         "commits": "/api/v4/projects/{id}/repository/commits", "number": "iid", "count": "user_notes_count",
     },
     "gitea": {
-        "page": 50, "size": "limit", "repo": "/api/v1/repos/{o}/{r}", "issues": [("/api/v1/repos/{o}/{r}/issues", {"type": "issues", "state": s}, s) for s in ("closed", "open")], "notes": "/api/v1/repos/{o}/{r}/issues/{n}/comments",
+        "listed": ("/api/v1/orgs/{o}/repos", {}), "own": ("/api/v1/repos/search", {}), "page": 50, "size": "limit", "repo": "/api/v1/repos/{o}/{r}", "issues": [("/api/v1/repos/{o}/{r}/issues", {"type": "issues", "state": s}, s) for s in ("closed", "open")], "notes": "/api/v1/repos/{o}/{r}/issues/{n}/comments",
         "commits": "/api/v1/repos/{o}/{r}/commits", "number": "number", "count": "comments",
     },
 }
@@ -45,13 +52,15 @@ class _Repo(InputPartition):
         self.owner, self.repo = owner, repo
 
 
-class _Reader(DataSourceReader):
+class _Api:
+    """Calls of one forge."""
+
     def __init__(self, options: dict):
         self.forge, self.base, self.token = FORGES[options["forge"]], options["base"].rstrip("/"), options.get("token", "")
-        self.repos = [tuple(x.rsplit("/", 1)) for x in options["repos"].split(",") if x]
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Repo(o, r) for o, r in self.repos]
+        self.named = [tuple(x.rsplit("/", 1)) for x in options.get("repos", "").split(",") if x]
+        self.owners = [x for x in options.get("owners", "").split(",") if x]
+        self.skipped = {x for x in options.get("skip", "").split(",") if x}
+        self.failures = options.get("failures", "")
 
     def get(self, path: str, query: dict, page: int):
         """The parsed answer, or None if there is no such page; an error that lasts is raised."""
@@ -78,37 +87,118 @@ class _Reader(DataSourceReader):
     def pages(self, path: str, query: dict) -> Iterator[dict]:
         page = 1
         while items := self.get(path, query, page):
+            items = items.get("data", []) if isinstance(items, dict) else items
             yield from items
             if len(items) < self.forge["page"]:
                 return
             page += 1
 
-    def read(self, partition: _Repo) -> Iterator[tuple]:
-        o, r = partition.owner, partition.repo
-        fill = lambda p, n="": p.format(o=o, r=r, n=n, id=urllib.parse.quote(f"{o}/{r}", safe=""))
-        seq = 0
-        repo = self.get(fill(self.forge["repo"]), {}, 1)
+    def repositories(self) -> dict[str, str]:
+        """Fingerprints by ``owner/name``: of those that are named, or else of all that the owners, or else the account, have."""
+        found: dict[str, str] = {}
+        if self.named:
+            for o, r in self.named:
+                found[f"{o}/{r}"] = _changed(self._described(o, r))
+        else:
+            path, query = self.forge["listed" if self.owners else "own"]
+            for owner in self.owners or [""]:
+                for r in self.pages(path.format(o=urllib.parse.quote(owner, safe="")), query):
+                    o = r.get("namespace", {}).get("full_path") or r.get("owner", {}).get("login") or owner
+                    found[f"{o}/{r.get('path') or r['name']}"] = _changed(r)
+        return {k: v for k, v in sorted(found.items()) if k not in self.skipped}
+
+    def _described(self, o: str, r: str) -> dict:
+        try:
+            return self.get(self.filled(self.forge["repo"], o, r), {}, 1) or {}
+        except (OSError, ValueError, RuntimeError):
+            return {}
+
+    def filled(self, path: str, o: str, r: str, n: str = "") -> str:
+        return path.format(o=o, r=r, n=n, id=urllib.parse.quote(f"{o}/{r}", safe=""))
+
+    def marks(self) -> dict[str, str]:
+        """What the marks of failed repositories say."""
+        if not self.failures:
+            return {}
+        fs, folder = pyarrow.fs.FileSystem.from_uri(self.failures)
+        files = fs.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True))
+        return {urllib.parse.unquote(f.base_name): fs.open_input_stream(f.path).read().decode() for f in files}
+
+    def mark(self, name: str) -> None:
+        """A new mark for a repository that failed; it stays, so that a later success isn't taken for another change."""
+        if self.failures:
+            fs, folder = pyarrow.fs.FileSystem.from_uri(self.failures)
+            fs.create_dir(folder)
+            with fs.open_output_stream(f"{folder}/{urllib.parse.quote(name, safe='')}") as out:
+                out.write(uuid.uuid4().hex.encode())
+
+    def rows(self, o: str, r: str) -> Iterator[tuple]:
+        """All objects of a repository, then its status; an error ends the repository, not the scan."""
+        seq, error = 0, None
+        try:
+            for seq, row in enumerate(self._objects(o, r)):
+                resource, parent, payload = row
+                yield o, r, resource, parent, seq, json.dumps(payload)
+        except (OSError, ValueError, RuntimeError, KeyError, AttributeError) as e:
+            error = f"{type(e).__name__}: {e}"
+            self.mark(f"{o}/{r}")
+        yield o, r, "status", None, seq + 1, json.dumps({"ok": error is None, "error": error})
+
+    def _objects(self, o: str, r: str) -> Iterator[tuple]:
+        repo = self.get(self.filled(self.forge["repo"], o, r), {}, 1)
         if repo:
-            yield o, r, "repo", None, seq, json.dumps(repo)
+            yield "repo", None, repo
         for path, query, state in self.forge["issues"]:
-            for issue in self.pages(fill(path), query):
-                seq += 1
+            for issue in self.pages(self.filled(path, o, r), query):
                 number = str(issue[self.forge["number"]])
-                yield o, r, "issue", number, seq, json.dumps(issue | ({"state": state} if state else {}))
+                yield "issue", number, issue | ({"state": state} if state else {})
                 if issue.get(self.forge["count"], 0) and "pull_request" not in issue:
-                    for note in self.get(fill(self.forge["notes"], number), {}, 1) or []:
-                        seq += 1
-                        yield o, r, "note", number, seq, json.dumps(note)
-        seen = 0
-        for commit in self.pages(fill(self.forge["commits"]), {}):
-            seq, seen = seq + 1, seen + 1
-            yield o, r, "commit", None, seq, json.dumps(commit)
+                    for note in self.pages(self.filled(self.forge["notes"], o, r, number), {}):
+                        yield "note", number, note
+        for seen, commit in enumerate(self.pages(self.filled(self.forge["commits"], o, r), {}), 1):
+            yield "commit", None, commit
             if seen >= MAX_COMMITS and seen % self.forge["page"] == 0:
                 return
 
 
+def _changed(repo: dict) -> str:
+    """When a repository last changed, to the minute."""
+    return (repo.get("updated_at") or repo.get("last_activity_at") or "")[:16]
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.api = _Api(options)
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Repo(*x) for x in self.api.named or (tuple(k.rsplit("/", 1)) for k in self.api.repositories())]
+
+    def read(self, partition: _Repo) -> Iterator[tuple]:
+        return self.api.rows(partition.owner, partition.repo)
+
+
+class _StreamReader(DataSourceStreamReader):
+    """The offset is the fingerprints of all repositories, so a range of offsets is what has changed in between."""
+
+    def __init__(self, options: dict):
+        self.api = _Api(options)
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        marks = self.api.marks()
+        return {k: f"{v} {marks[k]}" if k in marks else v for k, v in self.api.repositories().items()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Repo(*k.rsplit("/", 1)) for k, v in end.items() if start.get(k) != v]
+
+    def read(self, partition: _Repo) -> Iterator[tuple]:
+        return self.api.rows(partition.owner, partition.repo)
+
+
 class ForgeSource(DataSource):
-    """``spark.read.format("forge")`` with options forge, base, repos (``owner/name,...``) and token."""
+    """``spark.read.format("forge")`` or ``readStream`` with options forge, base, token, repos (``owner/name,...``) or owners, skip and failures."""
 
     @classmethod
     def name(cls) -> str:
@@ -120,10 +210,30 @@ class ForgeSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(self.options)
+
+
+def read_forge(spark: SparkSession, forge: str, base: str, repos: list[str] | None = None, token: str = "", owners: list[str] | None = None, skip: list[str] | None = None) -> DataFrame:
+    """All objects of the named repositories, or of all that the owners have, or else the account that the token belongs to."""
+    spark.dataSource.register(ForgeSource)
+    return spark.read.format("forge").options(forge=forge, base=base, repos=",".join(repos or []), token=token, owners=",".join(owners or []), skip=",".join(skip or [])).load()
+
 
-def read_forge(spark: SparkSession, forge: str, base: str, repos: list[str], token: str = "") -> DataFrame:
+def stream_forge(spark: SparkSession, forge: str, base: str, owners: list[str], failures: str, token: str = "", skip: list[str] | None = None) -> DataFrame:
+    """The repositories that have changed since the stream's last run; ``failures`` is a folder that all machines share."""
     spark.dataSource.register(ForgeSource)
-    return spark.read.format("forge").options(forge=forge, base=base, repos=",".join(repos), token=token).load()
+    return spark.readStream.format("forge").options(forge=forge, base=base, owners=",".join(owners), failures=failures, token=token, skip=",".join(skip or [])).load()
+
+
+def statuses(objects: DataFrame) -> DataFrame:
+    """``(owner, repo, ok, error)``."""
+    return objects.filter("resource = 'status'").select("owner", "repo", F.coalesce(_field("ok") == "true", F.lit(False)).alias("ok"), _field("error").alias("error"))
+
+
+def complete(objects: DataFrame) -> DataFrame:
+    """Objects of the repositories that came whole: half a listing must not pass for a whole one."""
+    return objects.join(statuses(objects).filter("not ok").select("owner", "repo"), ["owner", "repo"], "left_anti")
 
 
 def _field(path: str) -> Column:
@@ -131,8 +241,8 @@ def _field(path: str) -> Column:
 
 
 def fingerprints(objects: DataFrame) -> DataFrame:
-    """``(owner, repo, file_hash)``: when the repository last changed, to the minute."""
-    return objects.filter("resource = 'repo'").select("owner", "repo", F.substring(F.coalesce(_field("updated_at"), _field("last_activity_at"), F.lit("")), 1, 16).alias("file_hash"))
+    """``(owner, repo, file_hash)``: when the repository last changed, to the minute; none for one that didn't come whole."""
+    return complete(objects).filter("resource = 'repo'").select("owner", "repo", F.substring(F.coalesce(_field("updated_at"), _field("last_activity_at"), F.lit("")), 1, 16).alias("file_hash"))
 
 
 def issues_text(objects: DataFrame) -> DataFrame:

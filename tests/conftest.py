@@ -18,6 +18,9 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint"))).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from mnemospark.sources.segments import Segmented
+
+    Segmented.BUCKETS = 3  # few files for small tables
     yield s
     s.stop()
 
