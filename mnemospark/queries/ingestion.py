@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions.text import file_hash
 from mnemospark.plans import mining
 from mnemospark.queries.base import MEMORIES, memories, read
+from mnemospark.sources import projects as J
 from mnemospark.sources import files as S
 from mnemospark.sources import transcripts as T
 from mnemospark.storage import shared_dir
@@ -79,6 +80,24 @@ def transcript_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROJECTS = "with c as (select distinct conv_id % 3 as k, '/home/u/' || ['.claude/projects/-home--My.App--7', '.cursor/projects/Web_App!', 'docs'][conv_id % 3 + 1] || '/s/' || conv_id as path from conversations) select path, case when k = 0 then 'my-app' end as claude, case when k = 1 then 'web_app' end as cursor, 's' as markdown, substr(sha1(path || length(path) || '1.5'), 1, 16) as hash from c"
 
 
+def file_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files in nested repositories, some with a configuration, a broken one, a remote, or no root at all."""
+    c = read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    files = c.selectExpr("concat('/w/', element_at(array('org/app/docs', 'org/app', 'org/app/lib/src', 'org/tool/x/y', 'org/tool/inner/z', 'loose/Note Book'), cast(conv_id % 6 as int) + 1), '/', conv_id, '.md') as path")
+    part = read(spark, sf_dir, "region").filter("r_regionkey < 5").selectExpr(
+        "element_at(array('/w/org', '/w/org/app', '/w/org/app/lib/', '/w/org/tool', '/w/org/tool/inner'), r_regionkey + 1) as root",
+        "element_at(array(null, '{\"project\": \"My App\"}', '{broken', null, '{\"project\": \"\"}'), r_regionkey + 1) as config",
+        "element_at(array('https://h/o/Org.git', 'x', 'git@h:o/Lib.Core.git', null, 'https://h/o/inner-tool/'), r_regionkey + 1) as remote",
+    )
+    return J.projects(files, part)
+
+
+FILE_PROJECTS = """with c as (select distinct conv_id, conv_id % 6 as k from conversations)
+select '/w/' || ['org/app/docs', 'org/app', 'org/app/lib/src', 'org/tool/x/y', 'org/tool/inner/z', 'loose/Note Book'][k + 1] || '/' || conv_id || '.md' as path,
+  case when k < 2 then '/w/org/app' when k = 2 then '/w/org/app/lib' when k = 3 then '/w/org/tool' when k = 4 then '/w/org/tool/inner' end as root,
+  case when k < 2 then 'my-app' when k = 2 then 'lib-core' when k = 3 then 'tool' when k = 4 then 'inner-tool' else 'note-book' end as project from c"""
+
+
 def commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs made of events, a user each, cleaned."""
     subject = "element_at(array('Merge branch x', 'Fix it', 'WIP', 'Update', 'Update README now'), cast(event_id % 5 as int) + 1)"
@@ -178,6 +197,6 @@ def stream_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_MIRROR = "select cast(user_id as varchar) as id, arg_max('fleet:' || event_type, event_id) as namespace, arg_max(props, event_id) as text from events where event_id % 9 <> 0 group by user_id"
 
 QUERIES = {f.__name__: f for f in (
-    transcript_claude, transcript_codex, transcript_antigravity, transcript_cursor, transcript_openclaw, transcript_projects, commit_log, chunk_text, mined_facts, checkpoint_anti_join, index_feed, stream_flood, stream_mirror,
+    transcript_claude, transcript_codex, transcript_antigravity, transcript_cursor, transcript_openclaw, transcript_projects, file_projects, commit_log, chunk_text, mined_facts, checkpoint_anti_join, index_feed, stream_flood, stream_mirror,
 )}
-SQL = _TRANSCRIPTS | {"transcript_projects": PROJECTS, "commit_log": COMMIT_LOG, "chunk_text": CHUNK_TEXT, "mined_facts": MINED_FACTS, "checkpoint_anti_join": CHECKPOINT, "index_feed": INDEX_FEED, "stream_flood": STREAM_FLOOD, "stream_mirror": STREAM_MIRROR}
+SQL = _TRANSCRIPTS | {"transcript_projects": PROJECTS, "file_projects": FILE_PROJECTS, "commit_log": COMMIT_LOG, "chunk_text": CHUNK_TEXT, "mined_facts": MINED_FACTS, "checkpoint_anti_join": CHECKPOINT, "index_feed": INDEX_FEED, "stream_flood": STREAM_FLOOD, "stream_mirror": STREAM_MIRROR}

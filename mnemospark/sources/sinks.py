@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.storage import remove, rename, write_text
+
 
 def append_points(points: DataFrame, path: str) -> None:
     """Append to the point table, by namespace, so that a search of one namespace reads one folder."""
@@ -31,9 +33,22 @@ def current(spark, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/version={version}")
 
 
+def _publish(rows: DataFrame, path: str, kind: str) -> None:
+    """Rows of a small frame as one file at ``path``, moved there in one step: a reader finds the old file or the new one."""
+    spark, draft = rows.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    rows.coalesce(1).write.format(kind).save(draft)
+    part = spark.read.format(kind).load(draft).inputFiles()
+    if part:
+        rename(spark, part[0], path, over=True)
+    else:
+        write_text(spark, f"{draft}/none", "")
+        rename(spark, f"{draft}/none", path, over=True)
+    remove(spark, draft)
+
+
 def write_report(report: DataFrame, path: str) -> None:
-    """A report as one JSON object a row, in one file; Spark's committer moves it into place when it is whole."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    """A report as one JSON object a row, in one file; there is no moment without a report."""
+    _publish(report, path, "json")
 
 
 def append_gate_log(writes: DataFrame, path: str) -> None:
@@ -53,4 +68,4 @@ def dump_markdown(paragraphs: DataFrame, path: str) -> None:
 
 def write_metrics(lines: DataFrame, path: str) -> None:
     """Lines of exposition text."""
-    lines.select("line").coalesce(1).write.mode("overwrite").text(path)
+    _publish(lines.select("line"), path, "text")

@@ -52,10 +52,78 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    fs = _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getRaw() if fs.getUri().getScheme() == "file" else fs  # no checksum files, which a move would leave behind
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written by the driver."""
+    out = _fs(spark, path).create(_path(spark, path), True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None where there is none."""
+    try:
+        file = _fs(spark, path).open(_path(spark, path))
+    except Exception as e:  # py4j wraps the file system's answer
+        if "FileNotFound" in str(e):
+            return None
+        raise
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    finally:
+        file.close()
+
+
+def rename(spark: SparkSession, source: str, target: str, over: bool = False) -> bool:
+    """Move a file; one that is at the target stays, and the answer is False, unless it is to be replaced, in one step."""
+    at, to = (_fs(spark, p).makeQualified(_path(spark, p)).toUri() for p in (source, target))
+    try:
+        _moved_locally(spark, at, to, over) if to.getScheme() == "file" else _moved(spark, at, to, over)
+    except Exception as e:  # py4j wraps the file system's answer
+        if any(x in str(e) for x in ("AlreadyExists", "FileNotFound", "NoSuchFile")):
+            return False
+        raise
+    return True
+
+
+def _array(spark: SparkSession, kind, *values):
+    out = spark.sparkContext._gateway.new_array(kind, len(values))
+    for i, v in enumerate(values):
+        out[i] = v
+    return out
+
+
+def _moved(spark: SparkSession, at, to, over: bool) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    kinds = getattr(hadoop, "Options$Rename")
+    how = _array(spark, kinds, kinds.OVERWRITE if over else kinds.NONE)
+    hadoop.FileContext.getFileContext(to, spark._jsc.hadoopConfiguration()).rename(hadoop.Path(at), hadoop.Path(to), how)
+
+
+def _moved_locally(spark: SparkSession, at, to, over: bool) -> None:
+    """Hadoop's local file system deletes before it renames; the machine's own calls don't."""
+    nio = spark._jvm.java.nio.file
+    source, target = nio.Paths.get(at), nio.Paths.get(to)
+    if over:
+        nio.Files.move(source, target, _array(spark, nio.CopyOption, nio.StandardCopyOption.REPLACE_EXISTING, nio.StandardCopyOption.ATOMIC_MOVE))
+    else:
+        nio.Files.createLink(target, source)
+        nio.Files.delete(source)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, if it is there."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _fs(spark, path).delete(_path(spark, path), True)
 
 
 def discard(*tables: DataFrame) -> None:

@@ -121,12 +121,3 @@ def test_index_feed_and_pending(spark):
     assert len(r) == 1 and r[0].text == "m" and r[0].metadata == {"k": "v"}
     f = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, file_hash string")
     assert [x.path for x in files.pending(f, f.filter(F.col("path") == "a")).collect()] == ["b"]
-
-
-def test_lock(tmp_path):
-    from mnemospark.plans.locks import only_run
-
-    path = tmp_path / "lock"
-    with only_run(str(path)) as first, only_run(str(path)) as second:
-        assert first and not second and path.exists()
-    assert not path.exists()
