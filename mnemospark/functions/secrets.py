@@ -36,10 +36,12 @@ MIN_VALUE, MIN_ENTROPY = 8, 4.0
 
 def entropy(c: Column) -> Column:
     """Shannon entropy of the characters, in bits."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    # Sorted, equal characters are runs; a run ends where the next character differs, and its length is its end minus the end before.
+    chars = F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
     n = F.size(chars)
-    share = lambda x: (n - F.size(F.array_remove(chars, x))) / n
-    return F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), lambda a, x: a - share(x) * F.log2(share(x)))
+    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(chars, i) != F.get(chars, i - 1)))
+    runs = F.zip_with(ends, F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1)), lambda a, b: (a - b) / n)
+    return F.when(n > 0, F.aggregate(runs, F.lit(0.0), lambda a, x: a - x * F.log2(x))).otherwise(0.0)
 
 
 def is_placeholder(value: Column) -> Column:
@@ -58,8 +60,8 @@ def redacted(value: Column) -> Column:
 def entropy_flag(safe: Column) -> Column:
     """The first long run that isn't a commit hash or placeholder and is random enough."""
     runs = F.filter(F.regexp_extract_all(safe, F.lit(CANDIDATE), F.lit(0)), lambda t: ~t.rlike(COMMIT) & ~is_placeholder(t))
-    first = F.get(F.filter(runs, lambda t: entropy(t) > MIN_ENTROPY), F.lit(0))
-    return F.when(first.isNotNull(), F.concat(F.lit("high-entropy-token: standalone token entropy="), F.format_string("%.2f", entropy(first)), F.lit(" ("), redacted(first), F.lit(")")))
+    first = F.get(F.filter(F.transform(runs, lambda t: F.struct(t.alias("t"), entropy(t).alias("bits"))), lambda x: x["bits"] > MIN_ENTROPY), F.lit(0))
+    return F.when(first.isNotNull(), F.concat(F.lit("high-entropy-token: standalone token entropy="), F.format_string("%.2f", first["bits"]), F.lit(" ("), redacted(first["t"]), F.lit(")")))
 
 
 def secret_flags(text: Column) -> Column:

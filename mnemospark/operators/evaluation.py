@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import has_identifier, squeezed_prefix
+from mnemospark.storage import materialise
 
 #: Results looked at, least semantic score (exclusive) of a row that is used, and the score buckets.
 TOP, USED, BUCKETS, MARGINAL = 5, 0.55, (0.55, 0.58, 0.60, 0.65, 0.70, 1.01), 0.60
@@ -159,4 +160,15 @@ def judge_benchmark(results: DataFrame) -> DataFrame:
 def latest_captures(captures: DataFrame) -> DataFrame:
     """Of captures ``(line_no, query, namespaces, top5_ids)`` the last of each (query, namespaces), in the order they first came up."""
     one = captures.groupBy("query", "namespaces").agg(F.max_by("top5_ids", "line_no").alias("top5_ids"), F.min("line_no").alias("first_line"))
-    return one.withColumn("place", F.row_number().over(Window.orderBy("first_line")) - 1)
+    return placed(one, "first_line", "place")
+
+
+def placed(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` with their place by ``order``, from 0: ranges of rows are counted, and no task sees them all."""
+    cut = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.struct(F.monotonically_increasing_id().alias("id")))
+    cut = materialise(cut, "ordered")
+    part = F.shiftright("_at.id", 33)
+    sizes = cut.groupBy(part.alias("p")).agg(F.min("_at.id").alias("start"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    shifts = sizes.select("p", (before - F.col("start")).alias("shift"))
+    return cut.join(F.broadcast(shifts), part == F.col("p")).withColumn(name, F.col("_at.id") + F.col("shift")).drop("_at", "p", "shift")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import filled, number_guard, skeleton, slugify, strip
@@ -117,22 +117,34 @@ def dedup(records: DataFrame, threshold: float = THRESHOLD, max_group: int = MAX
 
     ``records``: id, content, namespace, created_at, subject, current, why, claim_type, supersedes, vector.
     ``quarantined``: pairs that differ in numbers only.  ``judged``: the other pairs with their verdict.  ``losers``:
-    ``(id, head)``.  ``heads``: ``(id, supersedes)``, what was there before first, then the losers by id.
+    ``(id, head)``.  ``heads``: ``(id, supersedes)``, what was there before first, then the losers by id.  ``report``:
+    ``(what, n)``, totals that were observed while these tables were written, so that nothing runs for them.
     """
+    seen = {what: Observation() for what in ("groups", "pairs", "losers", "heads")}
+    rows = F.count("*").alias("n")
     live, keys = in_question(records), ["namespace", "subject"]
-    grouped = materialise(in_bounds(dirty_groups(live, keys, since), keys, 2, max_group), "groups")
+    dirty = dirty_groups(live, keys, since)
+    sizes = dirty.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n").between(2, max_group))
+    sizes = materialise(sizes.observe(seen["groups"], rows, F.coalesce(F.sum("n"), F.lit(0)).alias("records")), "group-sizes")
+    grouped = materialise(dirty.join(sizes.select(*keys), keys, "left_semi"), "groups")
     pairs = candidate_pairs(grouped, threshold)
-    both = materialise(with_texts(pairs, grouped), "pairs")
+    both = materialise(with_texts(pairs, grouped).observe(seen["pairs"], rows, F.count_if("guarded").alias("guarded")), "pairs")
     judged = both.filter("not guarded").withColumn("verdict", judge(F.col("a"), F.col("b")))
-    same = materialise(judged.filter("verdict = 'duplicate'").select("id_a", "id_b"), "same")
+    judged = materialise(judged.select("id_a", "id_b", "similarity", "verdict"), "judged")
+    same = judged.filter("verdict = 'duplicate'").select("id_a", "id_b")
     linked = same.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     members = clusters(linked, same).join(grouped.select("id", "content", "why", "claim_type", "supersedes"), "id")
     members = members.join(choose_heads(members), "cluster")
-    losers = members.filter("id <> head").select("id", "head")
+    members = materialise(members, "members")
+    losers = materialise(members.filter("id <> head").select("id", "head").observe(seen["losers"], rows), "losers")
     gone = losers.groupBy("head").agg(F.array_sort(F.collect_list("id")).alias("gone"))
     none = F.array().cast("array<string>")
     heads = members.filter("id = head").join(gone, "head").select("id", F.array_distinct(F.concat(F.coalesce("supersedes", none), "gone")).alias("supersedes"))
-    return {"groups": grouped, "quarantined": both.filter("guarded").select("id_a", "id_b", "similarity"), "judged": judged.select("id_a", "id_b", "similarity", "verdict"), "losers": losers, "heads": heads}
+    heads = materialise(heads.observe(seen["heads"], rows), "heads")
+    groups, pairs_seen = seen["groups"].get, seen["pairs"].get
+    totals = {"groups": groups["n"], "records": groups["records"], "judged": pairs_seen["n"] - pairs_seen["guarded"], "quarantined": pairs_seen["guarded"], "collapsed": seen["losers"].get["n"], "heads": seen["heads"].get["n"]}
+    report = records.sparkSession.createDataFrame(list(totals.items()), "what string, n long")
+    return {"groups": grouped, "quarantined": both.filter("guarded").select("id_a", "id_b", "similarity"), "judged": judged, "losers": losers, "heads": heads, "report": report}
 
 
 def dedup_updates(outcome: dict[str, DataFrame]) -> DataFrame:

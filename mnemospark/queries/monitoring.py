@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.operators import monitoring as M
+from mnemospark.operators import routing
 from mnemospark.queries.base import MEMORIES, memories, read
 
 
@@ -104,5 +105,20 @@ def subject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SUBJECT_COUNTS = f"with {MEMORIES} select coalesce(raw_subject, '(none)') as subject, count(*) as n from memories group by 1 order by n desc, subject"
 
-QUERIES = {f.__name__: f for f in (writes_by_source_24h, flood_tripwire, gate_mix_24h, prediction_status, gate_log, backend_counters, manifest_drift, store_counts, subject_counts)}
-SQL = {"writes_by_source_24h": WRITES, "flood_tripwire": f"select * from ({WRITES}) where n > {M.FLOOD}", "gate_mix_24h": GATE_MIX, "prediction_status": PREDICTION_STATUS, "gate_log": GATE_LOG, "backend_counters": BACKEND_COUNTERS, "manifest_drift": MANIFEST_DRIFT, "store_counts": STORE_COUNTS, "subject_counts": SUBJECT_COUNTS}
+def backend_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as attempts: what was loaded and what has answered, and the backend that this leads to, under both policies."""
+    e = read(spark, sf_dir, "events").selectExpr(
+        "element_at(array('gate', 'judge'), cast(event_id % 2 as int) + 1) as policy", "event_id % 11 <> 0 as configured", "element_at(array(array('m', 'x'), array('x'), array(), null), cast(user_id % 4 as int) + 1) as models",
+        "element_at(array('verdict', 'unclear', 'failed'), cast(event_id % 3 as int) + 1) as primary", "element_at(array('absent', 'verdict', 'unclear', 'failed'), cast(event_id % 5 % 4 as int) + 1) as fallback",
+    )
+    tried = e.withColumn("loaded", routing.loaded_state(F.col("models").cast("array<string>"), F.lit("m"))).drop("models")
+    return routing.routed(tried).groupBy("policy", "configured", "loaded", "primary", "fallback", "backend").agg(F.count("*").alias("n"))
+
+
+BACKEND_ROUTING = """with a as (select case when event_id % 2 = 0 then 'gate' else 'judge' end as policy, event_id % 11 <> 0 as configured, case user_id % 4 when 0 then 'ours' when 1 then 'others' else 'nothing' end as loaded,
+  ['verdict', 'unclear', 'failed'][event_id % 3 + 1] as "primary", ['absent', 'verdict', 'unclear', 'failed'][event_id % 5 % 4 + 1] as fallback from events),
+b as (select *, loaded = 'ours' or (policy = 'judge' and loaded = 'nothing') as called from a)
+select policy, configured, loaded, "primary", fallback, case when not configured then 'skipped' when called and "primary" = 'verdict' then 'primary' when called and "primary" = 'unclear' then 'skipped' when fallback = 'verdict' then 'fallback' else 'skipped' end as backend, count(*) as n from b group by all"""
+
+QUERIES = {f.__name__: f for f in (writes_by_source_24h, flood_tripwire, gate_mix_24h, prediction_status, gate_log, backend_counters, manifest_drift, store_counts, subject_counts, backend_routing)}
+SQL = {"writes_by_source_24h": WRITES, "flood_tripwire": f"select * from ({WRITES}) where n > {M.FLOOD}", "gate_mix_24h": GATE_MIX, "prediction_status": PREDICTION_STATUS, "gate_log": GATE_LOG, "backend_counters": BACKEND_COUNTERS, "manifest_drift": MANIFEST_DRIFT, "store_counts": STORE_COUNTS, "subject_counts": SUBJECT_COUNTS, "backend_routing": BACKEND_ROUTING}

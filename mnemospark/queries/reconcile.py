@@ -167,14 +167,7 @@ select id, current, array_to_string(supersedes, ',') as supersedes, superseded_b
 
 def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a run."""
-    out = R.dedup(_records(spark, sf_dir), SIMILARITY, GROUP)
-    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
-    groups = out["groups"].select("namespace", "subject").distinct()
-    parts = [count(groups, "groups"), count(out["groups"], "records"), count(out["judged"], "judged"), count(out["quarantined"], "quarantined"), count(out["losers"], "collapsed"), count(out["heads"], "heads")]
-    report = parts[0]
-    for p in parts[1:]:
-        report = report.unionByName(p)
-    return report
+    return R.dedup(_records(spark, sf_dir), SIMILARITY, GROUP)["report"]
 
 
 DEDUP_REPORT = f"""with recursive {MEMORIES}, {VECTORS}, {RECORDS}, {PAIRS}, g as (select subject, count(*) as n from records group by subject having count(*) between 2 and {GROUP}), j as (select * from pairs where not ({_SAME} and regexp_extract_all(ca, '\\d+') <> regexp_extract_all(cb, '\\d+'))),
