@@ -28,8 +28,9 @@ CANDIDATE, COMMIT, STORE_PATH = r"[A-Za-z0-9+/=_-]{32,}", "^[0-9a-f]{40}$", r"\b
 #: Marks of a redacted value, and what people write in place of one.
 REDACTED = r"(?i)\b[A-Za-z0-9_-]{1,8}\*{4,}\b|<REDACTED>|^\*+$|\*{3,}|<\s*(?:token|secret|key|password)\s*>"
 PLACEHOLDERS = (
-    "your-api-key your_api_key yourapikey changeme change-me change_me xxxxxxxx xxxx 1234567890 example placeholder insert-here <token> todo n/a none your-token your_token"
-).split()
+    "your-api-key", "your_api_key", "yourapikey", "changeme", "change-me", "change_me", "xxxxxxxx", "xxxx", "1234567890", "example", "placeholder", "insert-here", "<token>", "todo",
+    "n/a", "none", "your-token", "your_token",
+)
 #: Shortest assigned value, and bits a character that random runs exceed.
 MIN_VALUE, MIN_ENTROPY = 8, 4.0
 
@@ -46,7 +47,7 @@ def entropy(c: Column) -> Column:
 
 def is_placeholder(value: Column) -> Column:
     v = F.lower(strip(value))
-    return v.isin(PLACEHOLDERS) | value.rlike(REDACTED) | v.rlike(r"(?s)^(.)\1{3,}$")
+    return v.isin(*PLACEHOLDERS) | value.rlike(REDACTED) | v.rlike(r"(?s)^(.)\1{3,}$")
 
 
 def without_store_paths(text: Column) -> Column:

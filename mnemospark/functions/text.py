@@ -11,9 +11,11 @@ QUERY_TOKEN, WORD, SUBTOKEN, RUN = r"[A-Za-z0-9_.:/@-]+", r"[a-z0-9']+", r"[A-Za
 BOUNDARY = r"._:/@-"
 #: Words that carry no content, for keyword extraction.
 STOPWORDS = (
-    "a an the of in on at to for and or nor but so yet as by from with about into onto over under than then this that these those it its is are was were be been being do does did doing have has had "
-    "having can could should would will shall may might must not no which what who whom whose how when where why any all each every some such i you he she we they them his her our your their"
-).split()
+    "a", "an", "the", "of", "in", "on", "at", "to", "for", "and", "or", "nor", "but", "so", "yet", "as", "by", "from", "with", "about", "into", "onto", "over", "under", "than",
+    "then", "this", "that", "these", "those", "it", "its", "is", "are", "was", "were", "be", "been", "being", "do", "does", "did", "doing", "have", "has", "had", "having", "can",
+    "could", "should", "would", "will", "shall", "may", "might", "must", "not", "no", "which", "what", "who", "whom", "whose", "how", "when", "where", "why", "any", "all", "each",
+    "every", "some", "such", "i", "you", "he", "she", "we", "they", "them", "his", "her", "our", "your", "their",
+)
 #: Letters with marks and the letters without them, for the keyword index.
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 

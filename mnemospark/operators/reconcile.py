@@ -20,7 +20,7 @@ from mnemospark.storage import broadcast_within, materialise
 #: Least similarity of a candidate pair and largest group that is compared.
 THRESHOLD, MAX_GROUP = 0.90, 80
 #: Subjects that re-bucketing never gives.
-VAGUE_BUCKETS = "user me system assistant unknown none".split()
+VAGUE_BUCKETS = ("user", "me", "system", "assistant", "unknown", "none")
 
 Judge = Callable[[Column, Column], Column]
 
@@ -216,7 +216,7 @@ def rebucket(records: DataFrame, known: DataFrame, classify: Callable[[Column],
     bucket = bucket.select("id", F.col("c.action").alias("action"), slugify(F.col("c.subject")).alias("subject"))
     entity = broadcast_within(known.select(F.col("subject").alias("entity")).distinct(), MAX_ALIASES)
     met = bucket.join(entity, F.col("subject") == F.col("entity"), "left")
-    fits = F.col("entity").isNotNull() & ~F.col("subject").isin(VAGUE_BUCKETS)
+    fits = F.col("entity").isNotNull() & ~F.col("subject").isin(*VAGUE_BUCKETS)
     action = F.when(F.col("action") == "resubject", F.when(fits, "resubject").otherwise("retire")).when(F.col("action").isin("preference", "retire"), F.col("action")).otherwise("error")
     return met.select("id", action.alias("action"), F.when((F.col("action") == "resubject") & fits, F.col("subject")).alias("subject"))
 

@@ -14,9 +14,9 @@ from mnemospark.functions.vagueness import vagueness_flags
 from mnemospark.storage import broadcast_within
 
 #: Claim types, those that need a reason, and subjects that name nothing.
-CLAIM_TYPES = "decision lesson fact preference prediction".split()
-NEEDS_WHY = "decision lesson".split()
-VAGUE_SUBJECTS = "user system me myself assistant session unknown none".split()
+CLAIM_TYPES = ("decision", "lesson", "fact", "preference", "prediction")
+NEEDS_WHY = ("decision", "lesson")
+VAGUE_SUBJECTS = ("user", "system", "me", "myself", "assistant", "session", "unknown", "none")
 #: The namespace of everything that belongs to no project.
 GLOBAL = "fleet"
 #: Aliases that may be broadcast.
@@ -70,9 +70,9 @@ def write_decisions(candidates: DataFrame, aliases: DataFrame, authority: Callab
     error = (
         F.when(F.size("secret") > 0, "MEMORY_CONTAINS_SECRET")
         .when((F.size("vague") > 0) & ~checked, "MEMORY_NEEDS_SELF_CHECK")
-        .when(name.isin(VAGUE_SUBJECTS), "MEMORY_VAGUE_SUBJECT")
-        .when(~F.col("kind").isin(CLAIM_TYPES), "MEMORY_INVALID_TYPE")
-        .when(F.col("kind").isin(NEEDS_WHY) & (F.col("reason") == ""), "MEMORY_NEEDS_WHY")
+        .when(name.isin(*VAGUE_SUBJECTS), "MEMORY_VAGUE_SUBJECT")
+        .when(~F.col("kind").isin(*CLAIM_TYPES), "MEMORY_INVALID_TYPE")
+        .when(F.col("kind").isin(*NEEDS_WHY) & (F.col("reason") == ""), "MEMORY_NEEDS_WHY")
         .when(incomplete, "MEMORY_PREDICTION_NEEDS_FIELDS")
         .when(F.size("conflicts") > 0, "MEMORY_AUTHORITY_CONFLICT")
         .when((F.coalesce("gate_verdict", blank) == "reject") & ~checked, "MEMORY_FAILS_WRITE_CONTRACT")
@@ -99,11 +99,11 @@ def metadata(caller: Column, own: Column, defaults: Column) -> Column:
 
 
 #: Payload fields that aren't metadata of a hit.
-RESERVED = "data memory hash user_id created_at updated_at text_lemmatized".split()
+RESERVED = ("data", "memory", "hash", "user_id", "created_at", "updated_at", "text_lemmatized")
 
 
 def hit_metadata(payload: Column) -> Column:
-    return F.map_filter(payload, lambda k, v: ~k.isin(RESERVED))
+    return F.map_filter(payload, lambda k, v: ~k.isin(*RESERVED))
 
 
 def merge_update(table: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
@@ -112,10 +112,11 @@ def merge_update(table: DataFrame, updates: DataFrame, key: str = "id") -> DataF
     ``updates`` has the key and, for each field, a struct ``{value}`` that is null where the field isn't updated: a null
     value inside is a legal new value.
     """
-    fields = [c for c in updates.columns if c != key]
-    u = updates.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in fields])
-    out = table.join(u, F.col(key) == F.col("_key"), "left")
-    return out.select(*[F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}.value")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in table.columns])
+    # One column a side, so that no name of one side meets a name of the other.
+    old, new = table.select(F.struct(*table.columns).alias("old")), updates.select(F.struct(*updates.columns).alias("new"))
+    out = old.join(new, F.col(f"old.{key}") == F.col(f"new.{key}"), "left")
+    value = lambda c: F.when(F.col(f"new.{c}").isNotNull(), F.col(f"new.{c}.value")).otherwise(F.col(f"old.{c}"))
+    return out.select(*[(value(c) if c != key and c in updates.columns else F.col(f"old.{c}")).alias(c) for c in table.columns])
 
 
 def mirror_upsert(index: DataFrame, log: DataFrame) -> DataFrame:

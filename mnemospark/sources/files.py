@@ -12,9 +12,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from mnemospark.functions.text import strip
 
 #: Documents taken from a repository's root, names never taken, folders never searched.
-ROOT_FILES = "CLAUDE.md AGENTS.md METHODOLOGY.md IDENTITY.md".split()
-SKIP_NAMES = "README.md readme.md".split()
-SKIP_DIRS = "node_modules .git __pycache__ dist build .venv venv".split()
+ROOT_FILES = ("CLAUDE.md", "AGENTS.md", "METHODOLOGY.md", "IDENTITY.md")
+SKIP_NAMES = ("README.md", "readme.md")
+SKIP_DIRS = ("node_modules", ".git", "__pycache__", "dist", "build", ".venv", "venv")
 #: Beginnings of commit subjects that say nothing.
 NOISE = ("merge branch", "merge pull request", "initial commit", "wip", "update readme")
 
@@ -25,9 +25,9 @@ def markdown_files(files: DataFrame, root: str) -> DataFrame:
     depth = len(root.rstrip("/").split("/"))
     repo, rest = F.get(below, F.lit(depth)), F.slice(below, F.lit(depth + 2), F.size(below))
     name = F.element_at(below, -1)
-    top = (F.size(rest) == 1) & name.isin(ROOT_FILES)
-    docs = (F.size(rest) == 2) & (F.get(rest, F.lit(0)) == "docs") & name.endswith(".md") & ~name.isin(SKIP_NAMES)
-    return files.filter(~repo.startswith(".") & ~repo.isin(SKIP_DIRS) & (top | docs)).withColumn("source", F.lit("markdown"))
+    top = (F.size(rest) == 1) & name.isin(*ROOT_FILES)
+    docs = (F.size(rest) == 2) & (F.get(rest, F.lit(0)) == "docs") & name.endswith(".md") & ~name.isin(*SKIP_NAMES)
+    return files.filter(~repo.startswith(".") & ~repo.isin(*SKIP_DIRS) & (top | docs)).withColumn("source", F.lit("markdown"))
 
 
 def is_noise(subject: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from mnemospark.operators.monitoring import FLOOD
 from mnemospark.sources.segments import Segmented
@@ -22,6 +23,44 @@ def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class RunCounts(StreamingQueryListener):
+    """What observed streams have counted, batch by batch; the counts come with the run, and nothing is read for them.
+
+    A stream is observed with ``stream.observe(name, ...)``; ``spark.streams.addListener`` takes this listener.  The last
+    ``BATCHES`` batches are kept.
+    """
+
+    BATCHES = 1000
+
+    def __init__(self) -> None:
+        self.rows: deque[tuple[str, int, str, dict]] = deque(maxlen=self.BATCHES)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        for name, metrics in p.observedMetrics.items():
+            self.rows.append((str(p.id), p.batchId, name, metrics.asDict()))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def total(self, name: str) -> dict[str, int]:
+        """Sums of the counts under a name, each batch of a stream once."""
+        batches = {(query, batch): metrics for query, batch, n, metrics in self.rows if n == name}
+        return {k: sum(m[k] or 0 for m in batches.values()) for k in {k for m in batches.values() for k in m}}
+
+
+def counted(writes: DataFrame, name: str = "mirror") -> DataFrame:
+    """Writes for the mirror, observed: how many came, and how many of them do nothing."""
+    blank = (F.coalesce("id", F.lit("")) == "") | (F.coalesce("text", F.lit("")) == "")
+    return writes.observe(name, F.count("*").alias("writes"), F.count_if(blank).alias("blank"))
+
+
 class Mirror(Segmented):
     """The keyword index's source of truth: a base and the batches since, by bucket of the id.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.operators import reconcile as R
 from mnemospark.plans.increments import DuplicateGroups
-from mnemospark.streaming.increments import Mirror
+from mnemospark.streaming.increments import Mirror, RunCounts, counted, mirror, mirrored, read_stream, run_available
 
 SCHEMA = "id string, content string, namespace string, created_at string, subject string, current boolean, why string, claim_type string, supersedes array<string>, vector array<double>"
 
@@ -101,3 +101,27 @@ def test_the_mirror_stays_small(spark, tmp_path):
     assert {r.id: r.text for r in mirror.rows().collect()} == want
     files = mirror.read("writes").select(F.input_file_name()).distinct().count()
     assert files <= (Mirror.DELTAS + 1) * Mirror.BUCKETS
+
+
+def test_counts_of_a_stream(spark, tmp_path):
+    """Two runs over four files; the listener has the sums without a job of its own."""
+    src, index, counts = str(tmp_path / "src"), str(tmp_path / "index"), RunCounts()
+    spark.streams.addListener(counts)
+    try:
+        for run in range(2):
+            for k in range(2):
+                rows = [(10 * run + 2 * k + j, f"i{j}", "n", "" if j else f"t{run}{k}") for j in range(3)]
+                spark.createDataFrame(rows, "seq long, id string, namespace string, text string").coalesce(1).write.mode("append").parquet(src)
+            stream = counted(read_stream(spark, src, "seq long, id string, namespace string, text string", max_files=1))
+            run_available(stream, mirror(index), str(tmp_path / "checkpoint")).awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        import time
+
+        for _ in range(100):  # progress events take a way of their own
+            if counts.total("mirror").get("writes") == 12:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counts)
+    assert counts.total("mirror") == {"writes": 12, "blank": 8} and counts.total("other") == {}
+    assert {r.id: r.text for r in mirrored(spark, index).collect()} == {"i0": "t11"}
