@@ -14,7 +14,7 @@ from mnemospark.storage import shared_dir
 #: Results of a search, and what is fetched for it.
 LIMIT, FETCH = 5, 15
 #: Counts up with what is stored in an index, so that none of another make is read.
-FORMAT = 3
+FORMAT = 4
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
