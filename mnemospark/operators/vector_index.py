@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemospark.storage import materialise, scratch
+from mnemospark.storage import exists, materialise, scratch
 
 #: Vectors that centres are chosen from for a namespace (by the hash of their ids), most centres, rounds of choosing.
 SAMPLE, CENTRES, ROUNDS = 16_384, 256, 6
@@ -187,8 +187,7 @@ class VectorIndex:
         return self
 
     def exists(self) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/centres/_SUCCESS")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return exists(self.spark, f"{self.path}/centres/_SUCCESS")
 
     def blocks(self) -> DataFrame:
         return self.spark.read.schema(_BLOCK).parquet(f"{self.path}/blocks")

@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.storage import remove
+from mnemospark.storage import exists, remove
 
 _SEGMENTS = "segment string, place int, batch long"
 
@@ -31,10 +30,8 @@ class Segmented:
     def segments(self) -> list[tuple[str, int, int]]:
         """``(name, place, batch)`` of the segments that count, as of the first look; every write looks anew."""
         if self._known is None:
-            try:
-                rows = self.spark.read.schema(_SEGMENTS).parquet(f"{self.path}/segments").collect()  # one for each batch since the last compaction
-            except AnalysisException:
-                rows = []
+            stored = f"{self.path}/segments"
+            rows = self.spark.read.schema(_SEGMENTS).parquet(stored).collect() if exists(self.spark, stored) else []  # one for each batch since the last compaction
             self._known = sorted((tuple(r) for r in rows), key=lambda r: r[1])
         return self._known
 

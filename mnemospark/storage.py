@@ -61,6 +61,10 @@ def _fs(spark: SparkSession, path: str):
     return fs.getRaw() if fs.getUri().getScheme() == "file" else fs  # no checksum files, which a move would leave behind
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return _fs(spark, path).exists(_path(spark, path))
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, written by the driver."""
     out = _fs(spark, path).create(_path(spark, path), True)
