@@ -65,6 +65,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return _fs(spark, path).exists(_path(spark, path))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    return _fs(spark, path).getFileStatus(_path(spark, path)).isDirectory()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, written by the driver."""
     out = _fs(spark, path).create(_path(spark, path), True)
