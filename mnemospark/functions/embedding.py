@@ -6,9 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from mnemospark.functions.text import index_tokens
 
@@ -41,3 +43,12 @@ def embed(texts: DataFrame, dims: int = DIMENSIONS[0]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["id", "vector"])
 
     return texts.select(F.col("id").cast("string").alias("id"), index_tokens(F.col("content")).alias("ts")).mapInArrow(run, "id string, vector array<double>")
+
+
+@F.pandas_udf(StringType())
+def fixed(vectors: pd.Series) -> pd.Series:
+    """Numbers with six places, comma-joined; what is rounded is the number as it is stored, and ties go to the even digit.
+
+    Java's formatter rounds the shortest decimal spelling instead, and ties go up: 33/128 differs.
+    """
+    return vectors.map(lambda v: ",".join(["%.6f" % x for x in v]), na_action="ignore")
