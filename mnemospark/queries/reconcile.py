@@ -13,8 +13,8 @@ from mnemospark.queries.base import ALIASES, MEMORIES, VECTORS, aliases, memorie
 from mnemospark.queries.scalars import SECRET_FLAGS, VAGUENESS
 from mnemospark.storage import shared_dir
 
-#: The tables' vectors have no pair at the default similarity.
-SIMILARITY, GROUP = 0.30, R.MAX_GROUP
+#: The tables' vectors have no pair at the default similarity and larger groups than the default cap: groups of any size are compared.
+SIMILARITY, GROUP = 0.30, None
 KINDS = "(" + ", ".join(f"'{k}'" for k in W.CLAIM_TYPES) + ")"
 
 
@@ -119,13 +119,13 @@ NAMESPACE_HEAL = f"with {MEMORIES}, m as (select case when id::BIGINT % 3 = 0 th
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memories that have a vector; a label of each three hundred is a subject, so that groups stay under the cap however large the table is."""
+    """Memories that have a vector; their subject is the vector's label."""
     m = memories(spark, sf_dir).select("id", "content", "created_at", "current", "why", "claim_type").withColumn("supersedes", F.when(F.col("id") % 7 == 0, F.array(F.lit("old"))))
-    return m.join(vectors(spark, sf_dir).withColumn("subject", F.concat("label", F.lit(" "), F.floor(F.col("id").cast("long") / 300).cast("string"))).drop("label"), "id").withColumn("namespace", F.lit("fleet"))
+    return m.join(vectors(spark, sf_dir).withColumnRenamed("label", "subject"), "id").withColumn("namespace", F.lit("fleet"))
 
 
-RECORDS = "records as (select m.id, content, created_at, current, why, claim_type, case when m.id::BIGINT % 7 = 0 then ['old'] end as supersedes, vector, label || ' ' || (m.id::BIGINT // 300) as subject from memories m join vectors using (id) where coalesce(current, true))"
-PAIRS = f"pairs as (select a.id as id_a, b.id as id_b, list_cosine_similarity(a.vector, b.vector) as similarity, a.content as ca, b.content as cb from records a join records b on a.subject = b.subject and a.id < b.id where a.subject in (select subject from records group by subject having count(*) <= {GROUP}) and round(list_cosine_similarity(a.vector, b.vector), 9) >= {SIMILARITY})"
+RECORDS = "records as (select m.id, content, created_at, current, why, claim_type, case when m.id::BIGINT % 7 = 0 then ['old'] end as supersedes, vector, label as subject from memories m join vectors using (id) where coalesce(current, true))"
+PAIRS = f"pairs as (select a.id as id_a, b.id as id_b, list_cosine_similarity(a.vector, b.vector) as similarity, a.content as ca, b.content as cb from records a join records b on a.subject = b.subject and a.id < b.id where round(list_cosine_similarity(a.vector, b.vector), 9) >= {SIMILARITY})"
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +170,7 @@ def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dedup(_records(spark, sf_dir), SIMILARITY, GROUP)["report"]
 
 
-DEDUP_REPORT = f"""with recursive {MEMORIES}, {VECTORS}, {RECORDS}, {PAIRS}, g as (select subject, count(*) as n from records group by subject having count(*) between 2 and {GROUP}), j as (select * from pairs where not ({_SAME} and regexp_extract_all(ca, '\\d+') <> regexp_extract_all(cb, '\\d+'))),
+DEDUP_REPORT = f"""with recursive {MEMORIES}, {VECTORS}, {RECORDS}, {PAIRS}, g as (select subject, count(*) as n from records group by subject having count(*) >= 2), j as (select * from pairs where not ({_SAME} and regexp_extract_all(ca, '\\d+') <> regexp_extract_all(cb, '\\d+'))),
 same as (select id_a, id_b from j where {_SAME}), both_ways as (select id_a as u, id_b as v from same union all select id_b, id_a from same), nodes as (select distinct u as id from both_ways), {COMPONENTS}
 select 'groups' as what, count(*) as n from g union all select 'records', sum(n)::BIGINT from g union all select 'judged', count(*) from j union all select 'quarantined', (select count(*) from pairs) - (select count(*) from j) union all select 'collapsed', count(*) - count(distinct cluster) from comp union all select 'heads', count(distinct cluster) from comp"""
 
