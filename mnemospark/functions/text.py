@@ -36,12 +36,13 @@ def first_filled(*columns: Column) -> Column:
 
 
 def slugify(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def path_slug(c: Column) -> Column:
     """Like ``slugify`` but keeps ``_``, doesn't join runs, and is null if nothing is left."""
-    return filled(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9_-]", "-"), "^-+|-+$", ""))
+    # Dashes are trimmed, not matched: a pattern for the last ones starts anew at each dash of a long run within.
+    return F.nullif(F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9_-]", "-"), F.lit("-")), F.lit(""))
 
 
 def skeleton(c: Column) -> Column:
