@@ -33,6 +33,11 @@ _ROW = "namespace string, dims int, list int, angle double, id string, unit bina
 _BLOCK = "namespace string, dims int, block long, list int, near double, far double, n int, ids array<string>, units array<binary>"
 
 
+def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows one at a time: they are large, and as Python objects a whole batch would take several times its size."""
+    return (tuple(c[i].as_py() for c in b.columns) for i in range(len(b)))
+
+
 def _matrix(raw: bytes | list[bytes], dims: int) -> np.ndarray:
     return np.frombuffer(raw if isinstance(raw, bytes) else b"".join(raw), np.float64).reshape(-1, dims)
 
@@ -60,7 +65,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for space, dims, ids, matrix in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for space, dims, ids, matrix in _rows(b):
             m, k = _matrix(matrix, dims), len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([space] * k, pa.string()), pa.array([dims] * k, pa.int32()), pa.array([r.tobytes() for r in m], pa.binary())], names=["query_id", "namespace", "dims", "unit"])
 
@@ -90,7 +95,7 @@ def _chosen(frame: pd.DataFrame) -> pd.DataFrame:
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed rows with their centres: a row for each vector, with its list and angle."""
     for b in batches:
-        for space, dims, ids, matrix, centres in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for space, dims, ids, matrix, centres in _rows(b):
             m = _matrix(matrix, dims)
             cosines = m @ _matrix(centres, dims).T
             own = cosines.argmax(axis=1)
@@ -117,7 +122,7 @@ def _asking(k: int, seeds: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, dims, ids, matrix, floors, centres, blocks, lists, near, far, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for _, dims, ids, matrix, floors, centres, blocks, lists, near, far, n in _rows(b):
                 blocks, lists, near, far, n = (np.array(x) for x in (blocks, lists, near, far, n))
                 bound = _bounds(_matrix(matrix, dims), _matrix(centres, dims), lists, near, far)
                 found: tuple[list[str], list[int]] = ([], [])
@@ -140,7 +145,7 @@ def _nearest(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for space, dims, ids, matrix, queries, vectors in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for space, dims, ids, matrix, queries, vectors in _rows(b):
                 scores = _matrix(vectors, dims) @ _matrix(matrix, dims).T
                 rounded, names, m = np.round(scores, 9), np.array(ids, object), min(k, len(ids))
                 edge = -np.partition(-rounded, m - 1, axis=1)[:, m - 1]
