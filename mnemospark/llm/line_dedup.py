@@ -15,8 +15,14 @@ only match if they are equal.  A line goes if an earlier line, by (doc_id, hash
 4. Each match with the earliest partner is verified on the words, by the lengths of the common beginning and end.
 
 With a ``rate``, a line may also differ by rate times the words of the longer line, where those are two edits or more.
-A line's keys are its ``SKETCH`` smallest hashes of three words in a row; the earliest line of each key is compared by full
-edit distance.  Unlike the steps above this may miss pairs.
+
+1. k edits cut the untouched words of a line of N words into k + 1 runs at most, so that near lines share a run of
+   (N - k) / (k + 1) words.  Of each run of that many words the smallest hash of ``GRAM`` words in a row is a key; both
+   lines have the one of the run that they share.  No near pair is lost.
+2. Keys that one line alone has fall away, which are nearly all.  Of a pair that shares a key, lengths and the parities
+   of the words' counts by hash tell whether it can be near at all.
+3. What can be is verified by full edit distance: first with the ``PIVOTS`` earliest lines of each key, which settles large
+   groups of near copies; then each line that is still open with all earlier lines of its keys.
 """
 
 from __future__ import annotations
@@ -31,10 +37,10 @@ from mnemospark.storage import broadcast_within, discard, materialise
 
 #: Fewest words of a line that may match with an edit.
 MIN_WORDS = 8
-#: Keys of a line for matches with several edits, and how many places of lines may be broadcast.
-SKETCH, MAX_SHARED = 4, 2_000_000
-#: Stand-ins for the different words of two lines.
-_ALPHABET = "".join(map(chr, [*range(0x100, 0xD800), *range(0xE000, 0xFFF0)]))
+#: Words of a key for matches with several edits, lines of a key that the others meet first, and how many places of lines may be broadcast.
+GRAM, PIVOTS, MAX_SHARED = 3, 2, 2_000_000
+#: The first stand-in for a word, and the stand-ins before the surrogates, which are no characters, and in all.
+_STAND_IN, _BEFORE_SURROGATES, _STAND_INS = 0x100, 0xD700, 0x10F700
 _NO_ID = -(1 << 63)
 _OTHER_SPACES = "\t\x0b\x0c\r"
 
@@ -103,40 +109,116 @@ def _once(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
+def _stand_in(i: Column) -> Column:
+    """A character for each number from 0."""
+    point = i + _STAND_IN + F.when(i >= _BEFORE_SURROGATES, 0x800).otherwise(0)
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+
 def edit_distance(a: Column, b: Column, most: Column) -> Column:
     """The edits between word lists; -1 if over ``most``.  Each word of the two becomes a character of its own."""
     both = F.array_distinct(F.concat(a, b))
-    as_text = lambda x, known: F.array_join(F.transform(x, lambda w: F.substring(F.lit(_ALPHABET), F.array_position(known, w).cast("int"), F.lit(1))), "")
-    d = _once(both, lambda known: F.levenshtein(as_text(a, known), as_text(b, known)))
-    return F.when((F.size(both) <= len(_ALPHABET)) & (d <= most), d).otherwise(-1)
+    as_text = lambda x, known: F.array_join(F.transform(x, lambda w: _stand_in(F.array_position(known, w) - 1)), "")
+    d = _once(both, lambda known: F.call_function("levenshtein", as_text(a, known), as_text(b, known), most.cast("int")))
+    return F.when((F.size(both) <= _STAND_INS) & (d <= most), d).otherwise(-1)
 
 
-def _texts_of(docs: DataFrame, at: Column, wanted: DataFrame) -> DataFrame:
+def _texts_of(lines: DataFrame, at: Column, wanted: DataFrame) -> DataFrame:
     """``(first, words)`` of the lines at the wanted places ``p``.  Texts move only if too many places are wanted to be sent around."""
     few = broadcast_within(wanted, MAX_SHARED)
     few = few if few is not wanted else wanted.hint("shuffle_hash")
-    return _lines(docs).withColumn("first", at).join(few, F.col("first") == F.col("p")).select("first", F.split(_plain(F.col("line")), " ").alias("words"))
+    return lines.withColumn("first", at).join(few, F.col("first") == F.col("p")).select("first", F.split("line", " ").alias("words"))
 
 
-def _within_rate(docs: DataFrame, at: Column, rate: float) -> DataFrame:
-    """``(h1, h2, near, edits)``: lines that an earlier line of one of their keys matches with two edits or more, by the rate."""
-    least = max(3, math.ceil(2 / rate - 1e-9) - 2)  # the shorter line of the shortest pair that may have two edits
-    line = F.col("line")
-    own = _lines(docs).select(_plain(line).alias("line"), at.alias("first")).filter(_n_words(line) >= least).withColumn("words", F.split(line, " "))
-    three = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+def shared_runs(rate: float) -> list[tuple[int, int | None, int]]:
+    """``(from, to, run)``: a line of so many words shares a run of so many words with each near line where the longer has two edits or more.
+
+    A length may be in two ranges, with runs for shorter and for longer partners; the last range has no end.
+    """
+    most = lambda n: math.floor(n * rate + 1e-9)
+    # The run is shortest where a longer line gains an edit, and these runs grow with the line.
+    least = lambda n: min(-(-(m - most(m)) // (most(m) + 1)) for m in range(n, n + math.ceil(2 / rate) + 2))
+    at = math.ceil(2 / rate - 1e-9)
+    starts = [(at, least(at))]
+    while starts[-1][1] < math.ceil((1 - rate) / rate - 1e-9):
+        at += 1
+        if least(at) > starts[-1][1]:
+            starts.append((at, least(at)))
+    ends = [n - 1 for n, _ in starts[1:]] + [None]
+    return [(n - most(n), end, max(1, run)) for (n, run), end in zip(starts, ends, strict=True)]
+
+
+def _run_keys(words: Column, rate: float) -> Column:
+    """Of each run of words that a near line may share, the smallest hash of ``GRAM`` words in a row."""
+    runs = shared_runs(rate)
+    gram, n = min(GRAM, *[r for _, _, r in runs]), F.size(words)
     # Spark may look at the keys before the filter on the length, so they are safe for lines of any length.
-    own = own.withColumn("keys", F.slice(F.sort_array(F.array_distinct(_once(F.split("line", " "), three))), 1, SKETCH))
-    rows = own.select(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "first", F.explode("keys").alias("k"))
-    rows = materialise(rows.groupBy("k", "h1", "h2").agg(F.min("first").alias("first")), "keyed")
-    met = rows.groupBy("k").agg(F.min("first").alias("by"), F.count("*").alias("n")).filter("n > 1").select("k", "by")
-    pairs = materialise(rows.join(met, "k").filter("by < first").select("h1", "h2", "first", "by").distinct(), "pairs")
-    discard(rows)
-    wanted = materialise(pairs.select(F.col("first").alias("p")).union(pairs.select("by")).distinct(), "wanted")
-    texts = materialise(_texts_of(docs, at, wanted).dropDuplicates(["first"]), "texts")
-    pairs = pairs.join(texts, "first").join(texts.select(F.col("first").alias("by"), F.col("words").alias("by_words")), "by")
-    most = F.floor(F.greatest(F.size("words"), F.size("by_words")) * rate + 1e-9)
-    near = pairs.filter(F.abs(F.size("words") - F.size("by_words")) <= most).withColumn("edits", edit_distance(F.col("words"), F.col("by_words"), most)).filter("edits > 0")
-    return near.groupBy("h1", "h2").agg(F.min(F.struct("by", "edits")).alias("x")).select("h1", "h2", F.col("x.by").alias("near"), F.col("x.edits").alias("edits"))
+    hashes = F.transform(F.sequence(F.lit(0), F.greatest(n - gram, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(gram)]))
+
+    def of(h: Column, low: int, high: int | None, run: int) -> Column:
+        inside = (n >= max(low, run)) & (F.lit(True) if high is None else n <= high)
+        starts = F.sequence(F.lit(1), F.greatest(n - run + 1, F.lit(1)))
+        return F.when(inside, F.transform(starts, lambda i: F.array_min(F.slice(h, i, run - gram + 1)))).otherwise(F.array().cast("array<bigint>"))
+
+    return _once(hashes, lambda h: F.array_distinct(F.concat(*[of(h, *r) for r in runs])))
+
+
+def _parities(words: Column) -> list[Column]:
+    """128 bits: whether the words of a hash are odd in number.  An edit turns two of them at most."""
+    def odd(half: int) -> Column:
+        def bit(h: Column) -> Column:
+            return F.when(F.shiftright(h, 6).bitwiseAND(1) == half, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
+
+        return F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(bit(F.xxhash64(w))))
+
+    return [odd(0), odd(1)]
+
+
+def _within_rate(lines: DataFrame, at: Column, rate: float, distinct: DataFrame, settled: DataFrame) -> DataFrame:
+    """``(h1, h2, near, edits)``: the lines of ``distinct`` that aren't in ``settled`` and have an earlier line within the rate, with such a line."""
+    own = lines.filter(_n_words(F.col("line")) >= min(low for low, _, _ in shared_runs(rate)))
+    rows = own.select("h1", F.explode(_once(F.split("line", " "), lambda w: _run_keys(w, rate))).alias("k"))
+    by_key = Window.partitionBy("k").orderBy("h1")
+    all_of_key = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select("k", "h1", F.lag("h1").over(by_key).alias("before"), (F.first("h1").over(all_of_key) != F.last("h1").over(all_of_key)).alias("met"))
+    met = materialise(rows.filter("met and (before is null or before <> h1)").select("k", "h1"), "met")
+
+    places = distinct.select("h1", "h2", "first").join(met.select("h1").distinct(), "h1", "left_semi").join(settled.select("h1", "h2", F.lit(True).alias("done")), ["h1", "h2"], "left")
+    places = materialise(places.select("h1", "h2", "first", F.coalesce("done", F.lit(False)).alias("done")), "places")
+    s1, s2 = _parities(F.col("words"))
+    told = _texts_of(lines, at, places.select(F.col("first").alias("p"))).select("first", F.size("words").alias("n"), s1.alias("s1"), s2.alias("s2"))
+    told = materialise(told.groupBy("first").agg(*[F.first(c).alias(c) for c in ("n", "s1", "s2")]).join(places, "first"), "told")
+    keyed = materialise(met.join(told.drop("h2"), "h1").select("k", "first", "n", "s1", "s2", "done"), "keyed")
+    discard(met, places)
+
+    own_n, by_n = F.col("n"), F.col("by.n")
+    most = F.floor(F.greatest(own_n, by_n) * rate + 1e-9)
+    odd = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"by.{s}"))) for s in ("s1", "s2")), F.lit(0))
+    can_be = (F.col("by.first") < F.col("first")) & (F.abs(own_n - by_n) <= most) & (odd <= 2 * most)
+    side = F.struct("first", "n", "s1", "s2")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """``(first, near, edits)`` of pairs ``(first, by)``."""
+        pairs = materialise(pairs.distinct(), "pairs")
+        wanted = materialise(pairs.select(F.col("first").alias("p")).union(pairs.select("by")).distinct(), "wanted")
+        texts = materialise(_texts_of(lines, at, wanted).dropDuplicates(["first"]), "texts")
+        both = pairs.join(texts, "first").join(texts.select(F.col("first").alias("by"), F.col("words").alias("by_words")), "by")
+        bound = F.floor(F.greatest(F.size("words"), F.size("by_words")) * rate + 1e-9)
+        near = both.withColumn("edits", edit_distance(F.col("words"), F.col("by_words"), bound)).filter("edits > 0")
+        near = materialise(near.groupBy("first").agg(F.min(F.struct("by", "edits")).alias("x")).select("first", F.col("x.by").alias("near"), "x.edits"), "near")
+        discard(pairs, wanted, texts)
+        return near
+
+    earliest = keyed.select("k", side.alias("by"), F.row_number().over(Window.partitionBy("k").orderBy("first")).alias("turn")).filter(F.col("turn") <= PIVOTS)
+    still = keyed.filter("not done")
+    near = verified(still.join(earliest, (still["k"] == earliest["k"]) & can_be).select("first", F.col("by.first").alias("by")))
+    # A table of its own, so that the join has a shuffle on both sides and a frequent key can be split.
+    left = materialise(still.join(near.select("first"), "first", "left_anti"), "left")
+    others = keyed.select("k", side.alias("by"))
+    more = verified(left.join(others, (left["k"] == others["k"]) & can_be).select("first", F.col("by.first").alias("by")))
+    out = materialise(near.unionByName(more).join(told.select("first", "h1", "h2"), "first").select("h1", "h2", "near", "edits"), "near")
+    discard(told, keyed, left, near, more)
+    return out
 
 
 def duplicate_lines(docs: DataFrame, rate: float = 0.0, min_words: int = MIN_WORDS) -> DataFrame:
@@ -151,7 +233,7 @@ def duplicate_lines(docs: DataFrame, rate: float = 0.0, min_words: int = MIN_WOR
     line, n = F.col("line"), F.col("n")
     hashed = _lines(docs).select("doc_id", "doc_hash", "line_no", _plain(line).alias("line")).withColumn("n", _n_words(line))
     hashed = hashed.select(
-        "doc_id", "doc_hash", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"),
+        "doc_id", "doc_hash", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"),
         *[F.when(n >= min_words, k).alias(f"k{i}") for i, k in enumerate(_half_keys(line, n))],
     )
     flat = materialise(hashed, "lines")
@@ -162,7 +244,7 @@ def duplicate_lines(docs: DataFrame, rate: float = 0.0, min_words: int = MIN_WOR
     met = halves.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
     open_lines = materialise(halves.join(met, "k", "left_semi").select("h1", "h2", "first").distinct(), "open")
 
-    texts = open_lines.join(_texts_of(docs, at, open_lines.select(F.col("first").alias("p"))).dropDuplicates(["first"]), "first")
+    texts = open_lines.join(_texts_of(flat, at, open_lines.select(F.col("first").alias("p"))).dropDuplicates(["first"]), "first")
     texts = materialise(texts.select("h1", "h2", "first", "words"), "texts")
     variants = materialise(_variants(texts), "variants")
     # Of each key: the earliest of the whole lines, of all shortened ones, and of those shortened in the same place.
@@ -178,7 +260,7 @@ def duplicate_lines(docs: DataFrame, rate: float = 0.0, min_words: int = MIN_WOR
     near = materialise(near, "near")
     discard(variants, texts, open_lines)
     if rate:
-        near = near.unionByName(materialise(_within_rate(docs, at, rate), "near")).groupBy("h1", "h2").agg(F.min(F.struct("edits", "near")).alias("x")).select("h1", "h2", "x.near", "x.edits")
+        near = near.unionByName(_within_rate(flat, at, rate, distinct, near).withColumn("edits", F.col("edits").cast("int")))
 
     # A table of its own, so that the join with all lines has a shuffle on both sides and a frequent line can be split.
     groups = materialise(distinct.select("h1", "h2", "first", "copies").join(near, ["h1", "h2"], "left").filter("copies > 1 or near is not null"), "groups")

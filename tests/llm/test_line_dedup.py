@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 
 import xxhash
 from pyspark.sql import functions as F
@@ -123,3 +125,53 @@ def test_edit_distance(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a array<string>, b array<string>")
     got = {r.i: r.x for r in df.select("i", L.edit_distance(F.col("a"), F.col("b"), F.lit(3)).alias("x")).collect()}
     assert got == {i: e if (e := edits(a, b)) <= 3 else -1 for i, (a, b) in enumerate(cases)}
+
+
+def test_rate_against_brute_force(spark):
+    """Each line with an earlier one within a tenth of the longer line's words goes, wherever the edits are."""
+    rng = random.Random(12)
+    lines = []
+    for d in range(450):
+        n = rng.choice([18, 19, 20, 21, 29, 30, 36, 40, 50, 90, 100, 120])
+        line = [rng.choice("abcdefgh") + rng.choice("ijklmnop") for _ in range(n)]
+        copy, k = list(line), rng.randint(1, n // 10 + 2)
+        for j in range(k):  # evenly spread, which leaves the shortest runs
+            i = min(len(copy) - 1, round((j + 1) * n / (k + 1)))
+            how = rng.randrange(3)
+            copy[i : i + (how != 1)] = [] if how == 2 else [f"x{d}"]
+        lines += [line, copy]
+    rng.shuffle(lines)
+    want = set()
+    for i, line in enumerate(lines):
+        for other in lines[:i]:
+            most = max(1, (longer := max(len(line), len(other))) // 10)
+            shared = sum((Counter(line) & Counter(other)).values())
+            if longer - shared <= most and edits(line, other) <= most:
+                want.add(i)
+                break
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = L.duplicate_lines(df, rate=0.1, min_words=5).collect()
+    assert {r.doc_id for r in got} == want and len(want) > 250
+    assert all(edits(lines[r.doc_id], lines[r.kept_doc_id]) == r.edits for r in got)
+
+
+def test_open_lines_meet_all_earlier_lines_of_their_keys(spark):
+    """Ten lines share a run, and each is near to one of the ten before it: that one is neither the first nor the second of the run."""
+    rng = random.Random(13)
+    shared = [f"s{i}" for i in range(9)]
+    rest = [[f"r{d}-{i}" for i in range(31)] for d in range(10)]
+    lines = [shared + r for r in rest] + [shared + [*r[:5], "x", *r[6:15], "y", *r[16:25], "z", *r[26:]] for r in rng.sample(rest, 10)]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = L.duplicate_lines(df, rate=0.1, min_words=5).collect()
+    assert {r.doc_id for r in got} == set(range(10, 20)) and {r.edits for r in got} == {3}
+
+
+def test_runs_that_near_lines_share():
+    """Two lines are in one range whose run is no longer than what their edits must leave."""
+    for rate in (0.1, 0.15, 0.3):
+        runs = L.shared_runs(rate)
+        for longer in range(math.ceil(2 / rate), 400):
+            k = int(longer * rate + 1e-9)
+            for n in (longer - k, longer):
+                assert any(low <= n and (high is None or longer <= high) and run <= -(-(longer - k) // (k + 1)) for low, high, run in runs)
+    assert L.shared_runs(0.1)[0] == (18, 20, 6) and L.shared_runs(0.1)[-1][1:] == (None, 9)
