@@ -59,8 +59,8 @@ SHORT, FEW = 30, 1000
 PIECE = 6
 #: Parts of the key range, words and bigrams of the corpus that one bucket gets about, and characters a word takes about.
 PASSES, BUCKET, WORD_CHARS = 4, 2_000_000, 5
-#: Characters that a worker gathers before it sums or packs their words, and most documents among them.
-GATHER, MOST_DOCS = 4_000_000, 65_535
+#: Characters that a worker cuts into words at once, which stay in its cache; those that it gathers before it sums or packs their words, and most documents among them.
+BLOCK, GATHER, MOST_DOCS = 125_000, 4_000_000, 65_535
 #: Tasks of a pass that add up, at least, words and bigrams that one of them may get, and sums that it holds at once.
 TASKS, TASK_KEYS, HELD_SUMS = 12, 50_000_000, 4_000_000
 #: Keys with a share over one in so many are scored where the text is.
@@ -147,7 +147,7 @@ class Chunk:
     def __init__(self, parts: list[bytes], rows: list[tuple], carried: np.ndarray):
         codes = np.frombuffer(b"".join(parts), "<u4")
         at, h = words(codes)
-        self.rows, self.own = rows, slice(len(carried), None)
+        self.rows, self.own, self.size = rows, slice(len(carried), None), len(codes)
         doc = np.cumsum(codes[at] == _BEGIN, dtype=np.int32) - np.int32(not len(carried))
         seeds = np.array([r[-1] for r in rows], np.int64).view(np.uint64)
         self.seq = np.concatenate((carried, mix(h, seeds[doc])))
@@ -158,32 +158,47 @@ class Chunk:
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
-    """Rows (..., lang, text), with the language's hash, as chunks of about ``GATHER`` characters.
+    """Rows (..., lang, text), with the language's hash, as chunks of about ``BLOCK`` characters.
 
     A longer text goes on in the next chunk; it is only cut before white space.
     """
     parts: list[bytes] = []
     rows: list[tuple] = []
-    size, carried = 0, np.empty(0, np.uint64)
+    size, carried, full = 0, np.empty(0, np.uint64), min(BLOCK, GATHER)
     for b in batches:
         for *row, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
             rows.append(tuple(row))
             parts.append(_MARK[_BEGIN])
             at = 0
-            while len(text) - at > GATHER - size and (gap := _GAP.search(text, at + max(1, GATHER - size))):
+            while len(text) - at > full - size and (gap := _GAP.search(text, at + max(1, full - size))):
                 parts.append(text[at : gap.start()].encode("utf-32-le", "surrogatepass"))
                 c = Chunk(parts, rows, carried)
                 yield c
                 at, parts, rows, size, carried = gap.start(), [], [tuple(row)], 0, c.seq[-1:]
             parts += [text[at:].encode("utf-32-le", "surrogatepass"), _MARK[_END]]
             size += len(text) - at + 2
-            if size >= GATHER or len(rows) >= MOST_DOCS:
+            if size >= full or len(rows) >= MOST_DOCS:
                 yield Chunk(parts, rows, carried)
                 parts, rows, size, carried = [], [], 0, np.empty(0, np.uint64)
     if rows:
         yield Chunk(parts, rows, carried)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], of: Callable[[Chunk, int], tuple]) -> Iterator[tuple]:
+    """Rows and joined arrays that ``of`` takes from each chunk and its first row's number, for about ``GATHER`` characters at a time."""
+    rows: list[tuple] = []
+    parts: list[tuple] = []
+    size = 0
+    for c in chunks(batches):
+        if parts and (size >= GATHER or len(rows) + len(c.rows) > MOST_DOCS):
+            yield rows, *map(np.concatenate, zip(*parts, strict=True))
+            rows, parts, size = [], [], 0
+        parts.append(of(c, len(rows)))
+        rows, size = rows + c.rows, size + c.size
+    if parts:
+        yield rows, *map(np.concatenate, zip(*parts, strict=True))
+
+
 # --- training
 
 _PAIRS = "lang long, key long, a long, b long, n long"
@@ -210,13 +225,15 @@ def _keys(docs: DataFrame) -> list[Column]:
 def bigrams(texts: DataFrame, part: int, parts: int) -> DataFrame:
     """``(lang, key, a, b, n)``: how often each bigram of a part of the key range stands in the texts."""
 
+    def of(c: Chunk, start: int) -> tuple:
+        at = np.flatnonzero(cell(c.pairs, parts) == part)
+        langs = np.array([r[-1] for r in c.rows], np.int64)
+        return langs[c.pair_doc[at]], c.pairs[at], c.left[at], c.right[at]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
-            at = np.flatnonzero(cell(c.pairs, parts) == part)
-            keys, first, n = np.unique(c.pairs[at], return_index=True, return_counts=True)
-            first = at[first]
-            langs = np.array([r[-1] for r in c.rows], np.int64)
-            yield _rows(_PAIRS, langs[c.pair_doc[first]], keys, c.left[first], c.right[first], n.astype(np.int64))
+        for _, langs, pairs, left, right in gathered(batches, of):
+            keys, first, n = np.unique(pairs, return_index=True, return_counts=True)
+            yield _rows(_PAIRS, langs[first], keys, left[first], right[first], n.astype(np.int64))
 
     return texts.select("lang", "text").mapInArrow(run, _PAIRS).groupBy("lang", "key", "a", "b").agg(F.sum("n").alias("n"))
 
@@ -307,8 +324,7 @@ def frequent(texts: DataFrame) -> np.ndarray:
     """Sorted keys with a share over 1.5 / ``RARE`` of all words and bigrams, and at most 2 * ``RARE`` in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
-            keys = np.concatenate((c.seq[c.own], c.pairs))
+        for _, keys in gathered(batches, lambda c, start: (np.concatenate((c.seq[c.own], c.pairs)),)):
             total = len(keys)
             coarse = (keys >> np.uint64(48)).astype(np.int32)  # only where many keys begin alike can one of them be frequent
             keys, n = np.unique(keys[(np.bincount(coarse, minlength=1 << 16) * RARE >= total)[coarse]], return_counts=True)
@@ -326,29 +342,38 @@ def frequent(texts: DataFrame) -> np.ndarray:
 def _sender(part: int, parts: int, buckets: int, often: np.ndarray, weights: np.ndarray) -> Callable:
     """Chunks to packed rows by bucket, and for each chunk a row of its documents with what the frequent keys add."""
 
+    begins = np.zeros(1 << 16, bool)  # how frequent keys begin: few of the others do
+    begins[(often >> np.uint64(48)).astype(np.int32)] = True
+
+    def of(c: Chunk, start: int) -> tuple:
+        words, pairs = c.seq[c.own], c.pairs
+        some, more = cell(words, parts) == part, cell(pairs, parts) == part
+        keys, doc = np.concatenate((words[some], pairs[more])), np.concatenate((c.doc[c.own][some], c.pair_doc[more]))
+        direct = np.zeros(len(c.rows))
+        if len(often):
+            near = np.flatnonzero(begins[(keys >> np.uint64(48)).astype(np.int32)])
+            k = np.minimum(np.searchsorted(often, keys[near]), len(often) - 1)
+            same = often[k] == keys[near]
+            hit = near[same]
+            direct += np.bincount(doc[hit], weights[k[same]], len(c.rows))
+            rest = np.ones(len(keys), bool)
+            rest[hit] = False
+            keys, doc = keys[rest], doc[rest]
+        n = np.bincount(c.pair_doc, minlength=len(c.rows)).astype(np.int64) if not part else np.zeros(len(c.rows), np.int64)
+        return doc + np.int32(start), keys, direct, n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
-            keys = np.concatenate((c.seq[c.own], c.pairs))
-            doc = np.concatenate((c.doc[c.own], c.pair_doc))
-            mine = cell(keys, parts) == part
-            keys, doc = keys[mine], doc[mine]
-            direct = np.zeros(len(c.rows))
-            if len(often):
-                k = np.minimum(np.searchsorted(often, keys), len(often) - 1)
-                hit = often[k] == keys
-                direct += np.bincount(doc[hit], weights[k[hit]], len(c.rows))
-                keys, doc = keys[~hit], doc[~hit]
-            order = np.argsort(keys, kind="stable")
+        for rows, doc, keys, direct, n in gathered(batches, of):
+            order = np.argsort(keys)
             keys, doc = keys[order], doc[order]
-            names = np.array(c.rows, np.int64)
+            names = np.array(rows, np.int64)
             # Chunks of the same texts have the same number, which does no harm: their sums and counts add up alike.
             chunk = xxhash.xxh64_intdigest(names.tobytes()) >> 1
-            n = np.bincount(c.pair_doc, minlength=len(c.rows)).astype(np.int64) if not part else np.zeros(len(c.rows), np.int64)
             own = cell(keys, buckets)
             cuts = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(keys)])) if len(keys) else [0]
-            packed = [pack(chunk, len(c.rows), keys[i:j], doc[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            packed = [pack(chunk, len(rows), keys[i:j], doc[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             bucket = [int(own[i]) for i in cuts[:-1]] + [buckets * part // parts]
-            docs = struct.pack(_HEAD, chunk, len(c.rows), 0, 0) + names.tobytes() + direct.tobytes() + n.tobytes()
+            docs = struct.pack(_HEAD, chunk, len(rows), 0, 0) + names.tobytes() + direct.tobytes() + n.tobytes()
             for i, row in enumerate([*packed, docs]):
                 yield _rows(_SENT, [bucket[i]], [1 if i < len(packed) else 2], [None], [None], [row])
 

@@ -114,6 +114,19 @@ def test_chunks_cut_long_texts_without_a_seam(monkeypatch):
         assert Counter(x for c in cut for x in of(c)) == Counter(of(whole[0]))
 
 
+def test_words_are_cut_in_small_blocks_and_gathered(monkeypatch):
+    """However much is gathered, no more than a block of text is cut into words at once."""
+    rows = [(i, i + 1, 3, "the cat sat on the mat " * (40 + i)) for i in range(20)]
+    of = lambda c, start: (c.doc[c.own] + start, c.seq[c.own])
+    [whole] = K.gathered(iter([batch(rows)]), of)
+    monkeypatch.setattr(K, "BLOCK", 500)
+    assert max(c.size for c in K.chunks(iter([batch(rows)]))) < 1000
+    [cut] = K.gathered(iter([batch(rows)]), of)
+    assert Counter((cut[0][d], int(x)) for d, x in zip(*cut[1:], strict=True)) == Counter((whole[0][d], int(x)) for d, x in zip(*whole[1:], strict=True))
+    monkeypatch.setattr(K, "MOST_DOCS", 7)
+    assert max(len(g[0]) for g in K.gathered(iter([batch(rows)]), of)) <= 7
+
+
 def test_packed_keys_come_back():
     rng = np.random.default_rng(0)
     for n in (0, 1, 1000):
