@@ -115,18 +115,25 @@ def _stand_in(i: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
 
 
-def edit_distance(a: Column, b: Column, most: Column) -> Column:
-    """The edits between word lists; -1 if over ``most``.  Each word of the two becomes a character of its own.
+def _drawn(words: Column) -> Column:
+    """A character for each word, drawn from its hash: two words may share one, so distances are no greater than by words."""
+    return F.array_join(F.transform(words, lambda w: _stand_in(F.pmod(F.xxhash64(w), F.lit(_STAND_INS)))), "")
 
-    By characters drawn from the words' hashes the distance is no greater, as two words may share one; most pairs that are
-    over the bound are so by that, which spares looking words up.
-    """
-    apart = lambda x, y: F.call_function("levenshtein", x, y, most.cast("int"))
-    drawn = lambda x: F.array_join(F.transform(x, lambda w: _stand_in(F.pmod(F.xxhash64(w), F.lit(_STAND_INS)))), "")
+
+def _apart(x: Column, y: Column, most: Column) -> Column:
+    return F.call_function("levenshtein", x, y, most.cast("int"))
+
+
+def _looked_up(a: Column, b: Column, most: Column) -> Column:
+    """The edits between word lists; -1 if over ``most``.  Each word of the two becomes a character of its own."""
     both = F.array_distinct(F.concat(a, b))
     as_text = lambda x, known: F.array_join(F.transform(x, lambda w: _stand_in(F.array_position(known, w) - 1)), "")
-    d = _once(both, lambda known: F.when(F.size(known) <= _STAND_INS, apart(as_text(a, known), as_text(b, known))).otherwise(-1))
-    return F.when(apart(drawn(a), drawn(b)) >= 0, d).otherwise(-1)
+    return _once(both, lambda known: F.when(F.size(known) <= _STAND_INS, _apart(as_text(a, known), as_text(b, known), most)).otherwise(-1))
+
+
+def edit_distance(a: Column, b: Column, most: Column) -> Column:
+    """The edits between word lists; -1 if over ``most``.  Most pairs that are over are so by drawn characters, which spares looking words up."""
+    return F.when(_apart(_drawn(a), _drawn(b), most) >= 0, _looked_up(a, b, most)).otherwise(-1)
 
 
 def _texts_of(lines: DataFrame, at: Column, wanted: DataFrame) -> DataFrame:
@@ -207,12 +214,16 @@ def _within_rate(lines: DataFrame, at: Column, rate: float, distinct: DataFrame,
         """``(first, near, edits)`` of pairs ``(first, by)``."""
         pairs = materialise(pairs.distinct(), "pairs")
         wanted = materialise(pairs.select(F.col("first").alias("p")).union(pairs.select("by")).distinct(), "wanted")
-        texts = materialise(_texts_of(lines, at, wanted).dropDuplicates(["first"]), "texts")
-        both = pairs.join(texts, "first").join(texts.select(F.col("first").alias("by"), F.col("words").alias("by_words")), "by")
-        bound = F.floor(F.greatest(F.size("words"), F.size("by_words")) * rate + 1e-9)
-        near = both.withColumn("edits", edit_distance(F.col("words"), F.col("by_words"), bound)).filter("edits > 0")
+        # Characters are drawn once for a line, not for each pair, and words move only for pairs that are near by these.
+        texts = materialise(_texts_of(lines, at, wanted).dropDuplicates(["first"]).withColumn("drawn", _drawn(F.col("words"))), "texts")
+        most_of = lambda n, m: F.floor(F.greatest(n, m) * rate + 1e-9)
+        rough = pairs.join(texts.select("first", "drawn"), "first").join(texts.select(F.col("first").alias("by"), F.col("drawn").alias("by_drawn")), "by")
+        rough = rough.filter(_apart(F.col("drawn"), F.col("by_drawn"), most_of(F.length("drawn"), F.length("by_drawn"))) >= 0)
+        rough = materialise(rough.select("first", "by"), "rough")
+        both = rough.join(texts.select("first", "words"), "first").join(texts.select(F.col("first").alias("by"), F.col("words").alias("by_words")), "by")
+        near = both.withColumn("edits", _looked_up(F.col("words"), F.col("by_words"), most_of(F.size("words"), F.size("by_words")))).filter("edits > 0")
         near = materialise(near.groupBy("first").agg(F.min(F.struct("by", "edits")).alias("x")).select("first", F.col("x.by").alias("near"), "x.edits"), "near")
-        discard(pairs, wanted, texts)
+        discard(pairs, wanted, texts, rough)
         return near
 
     earliest = keyed.select("k", side.alias("by"), F.row_number().over(Window.partitionBy("k").orderBy("first")).alias("turn")).filter(F.col("turn") <= PIVOTS)

@@ -175,3 +175,13 @@ def test_runs_that_near_lines_share():
             for n in (longer - k, longer):
                 assert any(low <= n and (high is None or longer <= high) and run <= -(-(longer - k) // (k + 1)) for low, high, run in runs)
     assert L.shared_runs(0.1)[0] == (18, 20, 6) and L.shared_runs(0.1)[-1][1:] == (None, 9)
+
+
+def test_characters_are_drawn_once_for_a_line(spark, monkeypatch):
+    """Pairs meet drawn characters first; words move only for what these leave."""
+    made, real = {}, L.materialise
+    monkeypatch.setattr(L, "materialise", lambda df, label: made.setdefault(label, []).append(df.columns) or real(df, label))
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x", *words[1:15], "y", *words[16:]]))], "doc_id long, text string")
+    assert [r.edits for r in L.duplicate_lines(docs, 0.1).collect()] == [2]
+    assert ["first", "words", "drawn"] in made["texts"] and all(c == ["first", "by"] for c in made["rough"])
