@@ -11,10 +11,10 @@ from mnemospark.storage import spread
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, most_bytes: int = BATCH_BYTES) -> None:
     """Bound what a Python worker holds at once, so that very long texts do not add up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

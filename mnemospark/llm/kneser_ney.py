@@ -63,6 +63,8 @@ PASSES, BUCKET, WORD_CHARS = 4, 2_000_000, 5
 BLOCK, GATHER, MOST_DOCS = 125_000, 4_000_000, 65_535
 #: Tasks of a pass that add up, at least, words and bigrams that one of them may get, and sums that it holds at once.
 TASKS, TASK_KEYS, HELD_SUMS = 12, 50_000_000, 4_000_000
+#: Bytes of an Arrow batch: packed rows are large, and both sides of the pipe hold a batch while its buffers double.
+PACKED_BYTES = 4 << 20
 #: Keys with a share over one in so many are scored where the text is.
 RARE = 4_000
 #: Rows of the label table, and languages, that may be broadcast.
@@ -440,7 +442,8 @@ def scores(texts: DataFrame, model: Model) -> DataFrame:
     chars = known.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     buckets = parts * max(1, round(2 * chars / WORD_CHARS / BUCKET / parts))
     often, sums = frequent(known), None
-    hot = broadcast_within(spark.createDataFrame([(k,) for k in often.view(np.int64).tolist()], "key long"), 2 * RARE + 1)
+    # An Arrow table: rows of a list would pass through Python workers of another kind, which stay on the executors.
+    hot = broadcast_within(spark.createDataFrame(pa.table({"key": often.view(np.int64)})), 2 * RARE + 1)
     for part in range(parts):
         weights = materialise(model.weights(part), "weights")
         found = {r.key: r.weight for r in weights.join(hot, "key", "left_semi").collect()}  # at most 2 * RARE rows
@@ -491,7 +494,7 @@ def threshold(n: Column) -> Column:
 
 def judged(docs: DataFrame, labels: DataFrame, parts: int = PASSES) -> DataFrame:
     """``(k1, k2, perplexity, threshold, accepted)`` of the different texts of ``docs`` whose language has a model."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, PACKED_BYTES)
     model = Model(_texts(_only(docs, labels, held=False)).select("lang", "text"), parts)
     scored = scores(_texts(docs), model)
     held = _only(docs, labels, held=True)

@@ -192,3 +192,13 @@ def test_most_junk_goes(spark):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     got = K.classify(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").toPandas()
     assert (~got[got.quality == 0].accepted).mean() > 0.84
+
+
+def test_workers_hold_small_batches_and_are_of_one_kind(spark, docs, labels, monkeypatch):
+    """Packed rows come in batches of a few MB, and no rows of a Python list start workers beside those of the model."""
+    sent, real = [], K.broadcast_within
+    monkeypatch.setattr(K, "broadcast_within", lambda df, most: sent.append(df) or real(df, most))
+    K.judged(docs, labels)
+    frequent = [df._jdf.queryExecution().toString() for df in sent if df.columns == ["key"]]
+    assert len(frequent) == 1 and "LogicalRDD" not in frequent[0] and "ExistingRDD" not in frequent[0]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
