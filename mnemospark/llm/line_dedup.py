@@ -98,7 +98,7 @@ def within_one_edit(a: Column, b: Column) -> Column:
     """Whether word lists differ by one edit at most: the common beginning and end leave one word of the longer."""
     def common(x: Column, y: Column) -> Column:
         at = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
-        return F.when(at == 0, F.size(x)).otherwise(at - 1)
+        return _once(at, lambda v: F.when(v == 0, F.size(x)).otherwise(v - 1))
 
     longer = F.greatest(F.size(a), F.size(b))
     return (a == b) | ((F.abs(F.size(a) - F.size(b)) <= 1) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longer - 1))
@@ -131,6 +131,12 @@ def _looked_up(a: Column, b: Column, most: Column) -> Column:
     return _once(both, lambda known: F.when(F.size(known) <= _STAND_INS, _apart(as_text(a, known), as_text(b, known), most)).otherwise(-1))
 
 
+def _exactly(a: Column, b: Column, drawn_a: Column, drawn_b: Column, most: Column) -> Column:
+    """The edits between word lists; -1 if over ``most``.  Words are looked up only where two of them share a drawn character."""
+    words, characters = F.size(F.array_distinct(F.concat(a, b))), F.size(F.array_distinct(F.split(F.concat(drawn_a, drawn_b), "")))
+    return F.when(words == characters, _apart(drawn_a, drawn_b, most)).otherwise(_looked_up(a, b, most))
+
+
 def edit_distance(a: Column, b: Column, most: Column) -> Column:
     """The edits between word lists; -1 if over ``most``.  Most pairs that are over are so by drawn characters, which spares looking words up."""
     return F.when(_apart(_drawn(a), _drawn(b), most) >= 0, _looked_up(a, b, most)).otherwise(-1)
@@ -168,12 +174,26 @@ def _run_keys(words: Column, rate: float) -> Column:
     # Spark may look at the keys before the filter on the length, so they are safe for lines of any length.
     hashes = F.transform(F.sequence(F.lit(0), F.greatest(n - gram, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(gram)]))
 
-    def of(h: Column, low: int, high: int | None, run: int) -> Column:
+    widest = max(1, max(r for _, _, r in runs) - gram + 1)
+
+    def lowest(m: Column, width: int, of: int) -> Column:
+        """The minima of ``width`` numbers from those of ``of``, at least half as many, by a second look at them; the last ones are of fewer."""
+        return m if width == of else F.zip_with(m, F.slice(m, F.lit(width - of + 1), n), lambda x, y: F.least(x, y))
+
+    def of(known: dict[int, Column], low: int, high: int | None, run: int) -> Column:
         inside = (n >= max(low, run)) & (F.lit(True) if high is None else n <= high)
-        starts = F.sequence(F.lit(1), F.greatest(n - run + 1, F.lit(1)))
-        return F.when(inside, F.transform(starts, lambda i: F.array_min(F.slice(h, i, run - gram + 1)))).otherwise(F.array().cast("array<bigint>"))
+        width = run - gram + 1
+        half = max(w for w in known if w <= width)
+        keys = F.slice(lowest(known[half], width, half), F.lit(1), F.greatest(n - run + 1, F.lit(1)))
+        return F.when(inside, keys).otherwise(F.array().cast("array<bigint>"))
+
+    def doubled(known: dict[int, Column]) -> Column:
+        w = max(known)
+        if 2 * w > widest:
+            return F.array_distinct(F.concat(*[of(known, *r) for r in runs]))
+        return _once(lowest(known[w], 2 * w, w), lambda m: doubled(known | {2 * w: m}))
 
-    return _once(hashes, lambda h: F.array_distinct(F.concat(*[of(h, *r) for r in runs])))
+    return _once(hashes, lambda h: doubled({1: h}))
 
 
 def _parities(words: Column) -> list[Column]:
@@ -220,8 +240,9 @@ def _within_rate(lines: DataFrame, at: Column, rate: float, distinct: DataFrame,
         rough = pairs.join(texts.select("first", "drawn"), "first").join(texts.select(F.col("first").alias("by"), F.col("drawn").alias("by_drawn")), "by")
         rough = rough.filter(_apart(F.col("drawn"), F.col("by_drawn"), most_of(F.length("drawn"), F.length("by_drawn"))) >= 0)
         rough = materialise(rough.select("first", "by"), "rough")
-        both = rough.join(texts.select("first", "words"), "first").join(texts.select(F.col("first").alias("by"), F.col("words").alias("by_words")), "by")
-        near = both.withColumn("edits", _looked_up(F.col("words"), F.col("by_words"), most_of(F.size("words"), F.size("by_words")))).filter("edits > 0")
+        both = rough.join(texts, "first").join(texts.select(F.col("first").alias("by"), F.col("words").alias("by_words"), F.col("drawn").alias("by_drawn")), "by")
+        a, b, drawn = F.col("words"), F.col("by_words"), (F.col("drawn"), F.col("by_drawn"))
+        near = both.withColumn("edits", _exactly(a, b, *drawn, most_of(F.size(a), F.size(b)))).filter("edits > 0")
         near = materialise(near.groupBy("first").agg(F.min(F.struct("by", "edits")).alias("x")).select("first", F.col("x.by").alias("near"), "x.edits"), "near")
         discard(pairs, wanted, texts, rough)
         return near

@@ -185,3 +185,39 @@ def test_characters_are_drawn_once_for_a_line(spark, monkeypatch):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x", *words[1:15], "y", *words[16:]]))], "doc_id long, text string")
     assert [r.edits for r in L.duplicate_lines(docs, 0.1).collect()] == [2]
     assert ["first", "words", "drawn"] in made["texts"] and all(c == ["first", "by"] for c in made["rough"])
+
+
+def test_words_are_looked_up_only_where_characters_are_shared(spark, monkeypatch):
+    """Also for characters of two UTF-16 units, and where few characters are drawn."""
+    rng = random.Random(8)
+    cases = [([rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))], [rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))]) for _ in range(300)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a array<string>, b array<string>")
+    want = {i: e if (e := edits(a, b)) <= 3 else -1 for i, (a, b) in enumerate(cases)}
+
+    def got():
+        d = df.withColumn("x", L._drawn(F.col("a"))).withColumn("y", L._drawn(F.col("b")))
+        return {r.i: r.e for r in d.select("i", L._exactly(F.col("a"), F.col("b"), F.col("x"), F.col("y"), F.lit(3)).alias("e")).collect()}
+
+    assert got() == want
+    monkeypatch.setattr(L, "_looked_up", lambda a, b, most: F.lit(-9))
+    assert got() == want
+    monkeypatch.undo()
+    monkeypatch.setattr(L, "_drawn", lambda words: F.array_join(F.transform(words, lambda w: L._stand_in(F.pmod(F.xxhash64(w), F.lit(5)))), ""))
+    assert got() == want
+
+
+def test_run_keys(spark):
+    """Each run's smallest hash, and no other, for any rate; a run is looked at twice at most."""
+    rng = random.Random(5)
+    lines = [[rng.choice("abcdef") for _ in range(n)] for n in [*range(1, 60), 150]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, w array<string>")
+    for rate in (0.1, 0.15, 0.3):
+        runs = L.shared_runs(rate)
+        gram = min(L.GRAM, *[r for _, _, r in runs])
+        keys = L._run_keys(F.col("w"), rate)
+        assert "array_min" not in str(keys)
+        grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - gram, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(gram)]))
+        for r in df.select("w", grams.alias("h"), keys.alias("k")).collect():
+            n = len(r.w)
+            want = {min(r.h[i : i + run - gram + 1]) for low, high, run in runs if n >= max(low, run) and (high is None or n <= high) for i in range(n - run + 1)}
+            assert len(r.k) == len(set(r.k)) and set(r.k) == want
